@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -15,17 +17,26 @@ def max_broadcast_rows(spark) -> int:
     return int(spark.conf.get(MAX_BROADCAST_ROWS_KEY, str(DEFAULT_MAX_BROADCAST_ROWS)))
 
 
-def pin(df: DataFrame, label: str = "state") -> tuple[DataFrame, int]:
+def pin(df: DataFrame, label: str = "state", **metrics: Column) -> tuple[DataFrame, int]:
     """Write ``df`` as a table in the shared checkpoint folder and read it back.
 
     The returned frame has no lineage behind it (a lost executor costs a re-read, not a
-    re-computation of the loop so far) and its row count is known exactly.
+    re-computation of the loop so far) and its row count is known exactly: it is observed
+    while writing, in the same job. Extra aggregate ``metrics`` are observed alongside
+    and returned through ``pin_metrics``.
     """
+    back, seen = pin_metrics(df, label, **metrics)
+    return back, seen["rows"]
+
+
+def pin_metrics(df: DataFrame, label: str = "state", **metrics: Column) -> tuple[DataFrame, dict]:
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
-    back = spark.read.parquet(path)
-    return back, back.count()
+    obs = Observation(f"{label}-{uuid.uuid4().hex[:8]}")
+    aggs = [F.count(F.lit(1)).alias("rows")] + [c.alias(k) for k, c in metrics.items()]
+    df.observe(obs, *aggs).write.parquet(path)
+    seen = dict(obs.get)
+    return spark.read.parquet(path), seen
 
 
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:

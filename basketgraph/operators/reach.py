@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sizing import broadcast_if_small, pin
+from ..functions.sizing import broadcast_if_small, pin_metrics
 from ..store import OrderStore
 
 # Vertex kinds of the typed graph.
@@ -46,31 +46,47 @@ def bfs(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_depth: int
     sources (root, vt, vid)          the start vertex of each root
     targets (root, vt, vid)          vertices whose distance is wanted
     returns (root, vt, vid, depth)   one row per target reached within max_depth
+
+    One job per level: the level is written with its row count and its number of
+    targets hit observed during the write.
     """
-    level, rows = pin(sources.select(*KEY).distinct().withColumn("depth", F.lit(0)), "bfs-level")
-    remaining, left = pin(targets.select(*KEY).distinct()
-                          .join(level, KEY, "left_anti"), "bfs-remaining")
-    found = [targets.select(*KEY).join(level, KEY)]
-    before = None
+    tg = targets.select(*KEY).distinct().withColumn("_t", F.lit(1)).cache()
+    n_targets = tg.count()
+    tg_side = broadcast_if_small(tg, n_targets)
+    hits = F.sum(F.coalesce(F.col("_t"), F.lit(0)))
+
+    def flagged(df: DataFrame, depth: int) -> DataFrame:
+        return df.join(tg_side, KEY, "left").withColumn("depth", F.lit(depth))
+
+    level, seen = pin_metrics(flagged(sources.select(*KEY).distinct(), 0), "bfs-level", hits=hits)
+    levels = [level]
+    rows, found = seen["rows"], seen["hits"] or 0
     for d in range(1, max_depth + 1):
-        if rows == 0 or left == 0:
+        if rows == 0 or found >= n_targets:
             break
-        active = level.join(remaining.select("root").distinct(), "root", "left_semi")
-        step = (edges.join(broadcast_if_small(active, rows),
+        frontier = level.select(*KEY)
+        if found:
+            # Roots with a target still open; at most n_targets rows, so broadcast is safe.
+            reached = _union([lv.where(F.col("_t") == 1).select(*KEY) for lv in levels])
+            open_roots = (tg.select(*KEY).join(F.broadcast(reached), KEY, "left_anti")
+                          .select("root").distinct())
+            frontier = frontier.join(F.broadcast(open_roots), "root", "left_semi")
+        seen_before = _union([lv.select(*KEY) for lv in levels[-2:]])
+        step = (edges.join(broadcast_if_small(frontier, rows),
                            (F.col("src_t") == F.col("vt")) & (F.col("src") == F.col("vid")))
                      .select("root", F.col("dst_t").alias("vt"), F.col("dst").alias("vid"))
                      .distinct()
-                     .join(level.select(*KEY), KEY, "left_anti"))
-        if before is not None:
-            step = step.join(before.select(*KEY), KEY, "left_anti")
-        before = level
-        level, rows = pin(step.withColumn("depth", F.lit(d)), "bfs-level")
-        hit = targets.select(*KEY).join(level, KEY)
-        found.append(hit)
-        remaining, left = pin(remaining.join(level, KEY, "left_anti"), "bfs-remaining")
-    out = found[0]
-    for h in found[1:]:
-        out = out.unionByName(h)
+                     .join(seen_before, KEY, "left_anti"))
+        level, seen = pin_metrics(flagged(step, d), "bfs-level", hits=hits)
+        levels.append(level)
+        rows, found = seen["rows"], found + (seen["hits"] or 0)
+    return _union([lv.where(F.col("_t") == 1).select(*KEY, "depth") for lv in levels])
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
     return out
 
 
