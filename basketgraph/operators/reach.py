@@ -1,30 +1,40 @@
-"""Shortest distances between customers by level-by-level frontier expansion.
-
-Both run one breadth-first search per source customer, all sources in the same job:
-
-    frontier_0 = the sources
-    frontier_d = neighbours(frontier_{d-1}) - level_{d-2} - level_{d-1}
-
-In an undirected graph a neighbour of a level-d vertex lies at level d-1, d or d+1, so
-removing the two previous levels is enough: the growing visited set is never joined.
-Each level is written to the shared checkpoint folder and counted; the frontier is
-broadcast to the edge table only when that count allows, so the (large) edge table is
-scanned in place and a hot vertex's edges stay spread over all its partitions. The loop
-ends when the frontier is empty, every target has been found, or the depth limit is
-reached; sources whose targets are all found stop expanding.
+"""Shortest distances between customers, by bidirectional frontier expansion.
+
+For every pair (source, target) two searches run in lockstep, one from each end, all
+pairs in the same job. After k rounds each side has visited every vertex within k edges
+of its end (V_f(k), V_b(k)); if the true distance D is at most 2k, some vertex of a
+shortest path lies in both sets, and D = min over V_f(k) and V_b(k) of d_f + d_b. So a
+pair is finished the first round its two sides meet, and no side ever goes deeper than
+half the distance: the frontier, which grows with every level, stays small.
+
+Each side expands as a plain breadth-first search,
+
+    frontier_k = neighbours(frontier_{k-1}) - level_{k-2} - level_{k-1}
+
+(in an undirected graph a neighbour of a level-k vertex lies at level k-1, k or k+1, so
+the growing visited set is never joined back). A round writes the new level to the
+shared checkpoint folder with its row count observed during the write; the frontier is
+broadcast to the edge table only when that count allows, so the edge table is scanned in
+place and a hot vertex's edges stay spread over all its partitions. Pairs that have met
+stop expanding; the loop ends when every pair is done, the frontier is empty, or the
+length limit is reached.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sizing import broadcast_if_small, pin_metrics
+from ..functions.sizing import broadcast_if_small, pin
 from ..store import OrderStore
 
 # Vertex kinds of the typed graph.
 CUSTOMER, ORDER, PRODUCT, SELLER = 0, 1, 2, 3
-KEY = ["root", "vt", "vid"]
+PK = ["source_id", "target_id"]
+KEY = PK + ["side", "vt", "vid"]
+FORWARD, BACKWARD = 0, 1
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -39,55 +49,66 @@ def _typed(df: DataFrame, a_t: int, a: str, b_t: int, b: str) -> DataFrame:
                      F.lit(b_t).alias("dst_t"), F.col(b).alias("dst"))
 
 
-def bfs(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_depth: int) -> DataFrame:
-    """Distances from each root to its targets.
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def _meets(new: DataFrame, levels: list[DataFrame], max_len: int) -> DataFrame:
+    """(source_id, target_id, dist) for pairs whose two sides share a vertex, at least one
+    of the two visits being in the newest level ``new``."""
+    vkey = PK + ["vt", "vid"]
 
-    edges   (src_t, src, dst_t, dst), already in both directions
-    sources (root, vt, vid)          the start vertex of each root
-    targets (root, vt, vid)          vertices whose distance is wanted
-    returns (root, vt, vid, depth)   one row per target reached within max_depth
+    def side(df, s, name):
+        return df.where(F.col("side") == s).select(*vkey, F.col("depth").alias(name))
 
-    One job per level: the level is written with its row count and its number of
-    targets hit observed during the write.
+    both = side(new, FORWARD, "df").join(side(_union(levels + [new]), BACKWARD, "db"), vkey)
+    if levels:
+        both = both.unionByName(
+            side(_union(levels), FORWARD, "df").join(side(new, BACKWARD, "db"), vkey))
+    return (both.groupBy(*PK).agg(F.min(F.col("df") + F.col("db")).alias("dist"))
+                .where(F.col("dist") <= max_len))
+
+
+def pair_distances(edges: DataFrame, pairs: DataFrame, source_vt: int, target_vt: int,
+                   max_len: int) -> DataFrame:
+    """Shortest distance of every pair within ``max_len`` edges.
+
+    edges  (src_t, src, dst_t, dst), already in both directions
+    pairs  (source_id, target_id)
+    returns (source_id, target_id, dist), no row for pairs farther apart than max_len
     """
-    tg = targets.select(*KEY).distinct().withColumn("_t", F.lit(1)).cache()
-    n_targets = tg.count()
-    tg_side = broadcast_if_small(tg, n_targets)
-    hits = F.sum(F.coalesce(F.col("_t"), F.lit(0)))
-
-    def flagged(df: DataFrame, depth: int) -> DataFrame:
-        return df.join(tg_side, KEY, "left").withColumn("depth", F.lit(depth))
-
-    level, seen = pin_metrics(flagged(sources.select(*KEY).distinct(), 0), "bfs-level", hits=hits)
-    levels = [level]
-    rows, found = seen["rows"], seen["hits"] or 0
-    for d in range(1, max_depth + 1):
-        if rows == 0 or found >= n_targets:
+    p = pairs.select(*PK).distinct().cache()
+    n_pairs = p.count()
+    start = (p.select(*PK, F.lit(FORWARD).alias("side"), F.lit(source_vt).alias("vt"),
+                      F.col("source_id").alias("vid"))
+             .unionByName(p.select(*PK, F.lit(BACKWARD).alias("side"), F.lit(target_vt).alias("vt"),
+                                   F.col("target_id").alias("vid")))
+             .withColumn("depth", F.lit(0)))
+    level, rows = pin(start, "bfs-level")
+    met, done = pin(_meets(level, [], max_len), "bfs-meets")
+    levels, results = [level], [met]
+    for k in range(1, math.ceil(max_len / 2) + 1):
+        if rows == 0 or done >= n_pairs:
             break
         frontier = level.select(*KEY)
-        if found:
-            # Roots with a target still open; at most n_targets rows, so broadcast is safe.
-            reached = _union([lv.where(F.col("_t") == 1).select(*KEY) for lv in levels])
-            open_roots = (tg.select(*KEY).join(F.broadcast(reached), KEY, "left_anti")
-                          .select("root").distinct())
-            frontier = frontier.join(F.broadcast(open_roots), "root", "left_semi")
-        seen_before = _union([lv.select(*KEY) for lv in levels[-2:]])
+        if done:
+            # At most n_pairs rows: broadcast without a further check.
+            finished = _union([r.select(*PK) for r in results])
+            frontier = frontier.join(F.broadcast(finished), PK, "left_anti")
         step = (edges.join(broadcast_if_small(frontier, rows),
                            (F.col("src_t") == F.col("vt")) & (F.col("src") == F.col("vid")))
-                     .select("root", F.col("dst_t").alias("vt"), F.col("dst").alias("vid"))
+                     .select(*PK, "side", F.col("dst_t").alias("vt"), F.col("dst").alias("vid"))
                      .distinct()
-                     .join(seen_before, KEY, "left_anti"))
-        level, seen = pin_metrics(flagged(step, d), "bfs-level", hits=hits)
+                     .join(_union([lv.select(*KEY) for lv in levels[-2:]]), KEY, "left_anti"))
+        level, rows = pin(step.withColumn("depth", F.lit(k)), "bfs-level")
+        met, n_met = pin(_meets(level, levels, max_len), "bfs-meets")
         levels.append(level)
-        rows, found = seen["rows"], found + (seen["hits"] or 0)
-    return _union([lv.where(F.col("_t") == 1).select(*KEY, "depth") for lv in levels])
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+        results.append(met)
+        done += n_met
+    return _union(results)
 
 
 def customer_hops(store: OrderStore, pairs: DataFrame, max_hops: int = 4) -> DataFrame:
@@ -99,28 +120,26 @@ def customer_hops(store: OrderStore, pairs: DataFrame, max_hops: int = 4) -> Dat
     customer-product graph, so hops = graph distance / 2.
     """
     cp = store.customer_product_pairs()
-    edges = undirected(_typed(cp, CUSTOMER, "customer_id", PRODUCT, "product_id"))
-    p = pairs.select("source_id", "target_id").distinct()
-    sources = p.select(F.col("source_id").alias("root"), F.lit(CUSTOMER).alias("vt"),
-                       F.col("source_id").alias("vid"))
-    targets = p.select(F.col("source_id").alias("root"), F.lit(CUSTOMER).alias("vt"),
-                       F.col("target_id").alias("vid"))
-    dist = bfs(edges, sources, targets, 2 * max_hops)
-    dist = dist.select(F.col("root").alias("source_id"), F.col("vid").alias("target_id"),
-                       (F.col("depth") / 2).cast("int").alias("hops"))
-    return p.join(dist, ["source_id", "target_id"], "left")
+    edges = store.derived("customer-product-edges", lambda: undirected(
+        _typed(cp, CUSTOMER, "customer_id", PRODUCT, "product_id")))
+    p = pairs.select(*PK).distinct()
+    dist = pair_distances(edges, p, CUSTOMER, CUSTOMER, 2 * max_hops)
+    dist = dist.select(*PK, (F.col("dist") / 2).cast("int").alias("hops"))
+    return p.join(dist, PK, "left")
 
 
 def graph_edges(store: OrderStore) -> DataFrame:
-    """The typed graph: customer-order, order-product, product-seller, both directions."""
-    placed = store.known_orders()
-    items = store.items("merged")
-    contains = items.select("order_id", "product_id").distinct()
-    sold_by = store.items("bag").select("product_id", "seller_id").distinct()
-    return undirected(
-        _typed(placed, CUSTOMER, "customer_id", ORDER, "order_id")
-        .unionByName(_typed(contains, ORDER, "order_id", PRODUCT, "product_id"))
-        .unionByName(_typed(sold_by, PRODUCT, "product_id", SELLER, "seller_id")))
+    """The typed graph: customer-order, order-product, product-seller, both directions.
+    Built once per store and kept, since every search level scans it."""
+    def build():
+        placed = store.known_orders()
+        contains = store.items("merged").select("order_id", "product_id").distinct()
+        sold_by = store.items("bag").select("product_id", "seller_id").distinct()
+        return undirected(
+            _typed(placed, CUSTOMER, "customer_id", ORDER, "order_id")
+            .unionByName(_typed(contains, ORDER, "order_id", PRODUCT, "product_id"))
+            .unionByName(_typed(sold_by, PRODUCT, "product_id", SELLER, "seller_id")))
+    return store.derived("graph-edges", build)
 
 
 def shortest_path_length(store: OrderStore, pairs: DataFrame, max_edges: int = 10) -> DataFrame:
@@ -132,10 +151,5 @@ def shortest_path_length(store: OrderStore, pairs: DataFrame, max_edges: int = 1
     known = store.customers.select(F.col("customer_id").alias("source_id"))
     p = p.join(known, "source_id", "left_semi").join(
         known.withColumnRenamed("source_id", "target_id"), "target_id", "left_semi")
-    sources = p.select(F.col("source_id").alias("root"), F.lit(CUSTOMER).alias("vt"),
-                       F.col("source_id").alias("vid"))
-    targets = p.select(F.col("source_id").alias("root"), F.lit(CUSTOMER).alias("vt"),
-                       F.col("target_id").alias("vid"))
-    dist = bfs(graph_edges(store), sources, targets, max_edges)
-    return dist.select(F.col("root").alias("source_id"), F.col("vid").alias("target_id"),
-                       F.col("depth").cast("int").alias("length"))
+    dist = pair_distances(graph_edges(store), p, CUSTOMER, CUSTOMER, max_edges)
+    return dist.select(*PK, F.col("dist").cast("int").alias("length"))

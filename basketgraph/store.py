@@ -59,6 +59,12 @@ class OrderStore:
             self._memo[key] = df.persist(StorageLevel.MEMORY_AND_DISK)
         return self._memo[key]
 
+    def derived(self, key: str, build) -> DataFrame:
+        """A table derived from the store, built on first use and kept."""
+        if key not in self._memo:
+            self._keep(key, build())
+        return self._memo[key]
+
     def unpersist(self) -> None:
         for df in self._memo.values():
             df.unpersist()
@@ -83,7 +89,7 @@ class OrderStore:
                 df = (df.join(self.products.select("product_id"), "product_id", "left_semi")
                         .join(self.sellers.select("seller_id"), "seller_id", "left_semi"))
             return df.select("order_id", "customer_id", "product_id", "seller_id", "price")
-        return self._keep("items", build()) if "items" not in self._memo else self._memo["items"]
+        return self.derived("items", build)
 
     def items(self, items: str = "bag") -> DataFrame:
         check_items_mode(items)
