@@ -25,6 +25,7 @@ from ..sources.entities import read_entity
 from ..sources.runlog import runs_from_events
 from ..sources.sinks import read_snapshot, write_results, write_snapshot
 from ..store import OrderStore
+from ..streaming.ingest import loaded_table, start_incremental_load
 
 RNG_SEED = 42
 POOL = 20
@@ -190,6 +191,23 @@ def q_snapshot_overwrite(spark, sf_dir):
     return read_snapshot(spark, path)
 
 
+def q_incremental_load(spark, sf_dir):
+    """Orders arrive as two CSV drops (older orders, then all orders); the stream runs
+    after each drop and must end with every order exactly once."""
+    st = store_for(spark, sf_dir)
+    root = scratch_path(spark, "stream-load")
+    stem, cols = OLIST_LAYOUT["orders"]
+    as_csv = st.orders.select(*[F.col(logical).cast("string").alias(phys)
+                                for logical, phys in cols.items()])
+    older = as_csv.where(F.col("order_purchase_timestamp") < F.lit(ORDERS_STORED_BEFORE))
+    for i, drop in enumerate((older, as_csv)):
+        write_results(drop, f"{root}/in/drop{i}")
+        q = start_incremental_load(spark, f"{root}/in/*", "orders", f"{root}/table",
+                                   checkpoint=f"{root}/checkpoint")
+        q.awaitTermination()
+    return loaded_table(spark, f"{root}/table")
+
+
 def q_active_customers(spark, sf_dir):
     return S.active_customers(store_for(spark, sf_dir), 1, POOL)
 
@@ -260,6 +278,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "check_unique": q_check_unique,
     "entities_csv_roundtrip": q_entities_csv_roundtrip,
     "snapshot_overwrite": q_snapshot_overwrite,
+    "incremental_load": q_incremental_load,
     # B
     "active_customers": q_active_customers,
     "popular_products": q_popular_products,

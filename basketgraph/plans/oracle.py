@@ -408,6 +408,9 @@ FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING COUNT(*) > 1""",
 SELECT CAST(l_orderkey AS VARCHAR) AS order_id, CAST(l_partkey AS VARCHAR) AS product_id,
        CAST(l_suppkey AS VARCHAR) AS seller_id, l_extendedprice AS price FROM lineitem""",
     "snapshot_overwrite": ORDERS_LOGICAL,
+    "incremental_load": """
+SELECT CAST(o_orderkey AS VARCHAR) AS order_id, CAST(o_custkey AS VARCHAR) AS customer_id,
+       o_orderstatus AS status, o_orderdate AS purchased_at FROM orders""",
     "active_customers": "WITH " + CUSTOMER_POOL + " SELECT customer_id, n_items FROM customer_pool",
     "popular_products": "WITH " + PRODUCT_POOL + " SELECT product_id, n_orders FROM product_pool",
     "draw_seeds": "WITH " + CUSTOMER_POOL + """
