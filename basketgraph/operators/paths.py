@@ -51,22 +51,70 @@ def _spread_to_products(f: DataFrame, f_rows: int, m: DataFrame) -> DataFrame:
              .agg(F.sum(F.col("fw") * F.col("w")).alias("w")))
 
 
-def pair_square_sums(store: OrderStore, customers: DataFrame, items: str) -> DataFrame:
-    """N2(customer_id, n2) = sum over other customers b of A(c, b)^2, for the given customers."""
+HOT_GROUP_KEY = "basketgraph.hotGroupRows"
+DEFAULT_HOT_GROUP_ROWS = 10_000
+
+
+def _sum_by_customer(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("customer_id").agg(F.sum("v").alias("v"))
+
+
+def pair_square_sums(store: OrderStore, customers: DataFrame, items: str,
+                     hot_rows: int | None = None) -> DataFrame:
+    """N2(customer_id, n2) = sum over other customers b of A(c, b)^2, for the given customers.
+
+    ||A(c, .)||^2 is split by product. Products with at most ``hot_rows`` customers (cold)
+    go through the customer-by-customer expansion, which emits at most hot_rows rows per
+    (customer, product) row. A hot product would emit all pairs of its customers, so its
+    share comes from the product-by-product weights B(h, x) = sum_b m(b, h) m(b, x)
+    instead, whose rows number at most (hot products) x (products):
+
+        ||A(c, .)||^2 = sum_b A_cold(c, b)^2
+                      + 2 sum_{h hot, p cold} m(c,h) m(c,p) B(h, p)
+                      + sum_{h, h' hot} m(c,h) m(c,h') B(h, h')
+        N2(c) = ||A(c, .)||^2 - sq(c)^2
+    """
+    spark = store.spark
+    if hot_rows is None:
+        hot_rows = int(spark.conf.get(HOT_GROUP_KEY, str(DEFAULT_HOT_GROUP_ROWS)))
     m = store.customer_products(items)
-    mine, rows = pin(m.join(customers, "customer_id", "left_semi")
-                      .withColumnRenamed("customer_id", "c")
-                      .withColumnRenamed("w", "cw"), "n2-rows")
-    a = (m.join(broadcast_if_small(mine, rows), "product_id")
-          .where(F.col("customer_id") != F.col("c"))
-          .groupBy("c", "customer_id")
-          .agg(F.sum(F.col("cw") * F.col("w")).alias("a")))
-    return (a.groupBy("c").agg(F.sum(F.col("a") * F.col("a")).alias("n2"))
-             .withColumnRenamed("c", "customer_id"))
+    # At most |m| / hot_rows hot products; their count is measured before any broadcast.
+    hot, n_hot = pin(m.groupBy("product_id").agg(F.count(F.lit(1)).alias("deg"))
+                      .where(F.col("deg") > hot_rows).select("product_id"), "n2-hot")
+    hot_side = broadcast_if_small(hot, n_hot)
+    mine, rows = pin(m.join(customers, "customer_id", "left_semi"), "n2-rows")
+    mine_cold = mine.join(hot_side, "product_id", "left_anti")
+    m_cold = m.join(hot_side, "product_id", "left_anti") if n_hot else m
+    a_cold = (m_cold.withColumnRenamed("customer_id", "b").withColumnRenamed("w", "bw")
+              .join(broadcast_if_small(mine_cold, rows), "product_id")
+              .groupBy("customer_id", "b").agg(F.sum(F.col("w") * F.col("bw")).alias("a")))
+    parts = [a_cold.groupBy("customer_id").agg(F.sum(F.col("a") * F.col("a")).alias("v"))]
+    if n_hot:
+        m_hot = m.join(hot_side, "product_id", "left_semi")
+        b_hx = (m_hot.select("customer_id", F.col("product_id").alias("h"), F.col("w").alias("hw"))
+                .join(m, "customer_id")
+                .groupBy("h", "product_id").agg(F.sum(F.col("hw") * F.col("w")).alias("bw")))
+        mine_hot = mine.join(hot_side, "product_id", "left_semi").select(
+            "customer_id", F.col("product_id").alias("h"), F.col("w").alias("hw"))
+        cross = (mine_hot.join(mine_cold, "customer_id").join(b_hx, ["h", "product_id"])
+                 .groupBy("customer_id")
+                 .agg(F.sum(2 * F.col("hw") * F.col("w") * F.col("bw")).alias("v")))
+        both_hot = (mine_hot.join(mine_hot.select("customer_id", F.col("h").alias("product_id"),
+                                                  F.col("hw").alias("w")), "customer_id")
+                    .join(b_hx, ["h", "product_id"])
+                    .groupBy("customer_id")
+                    .agg(F.sum(F.col("hw") * F.col("w") * F.col("bw")).alias("v")))
+        parts += [cross, both_hot]
+    sq = store.self_weight(items)
+    return (_sum_by_customer(parts).join(sq, "customer_id")
+            .select("customer_id", (F.col("v") - F.col("sq") * F.col("sq")).alias("n2")))
 
 
 def path_counts(store: OrderStore, seeds: DataFrame, depth: int, mode: str = "walk",
-                items: str = "bag") -> DataFrame:
+                items: str = "bag", hot_rows: int | None = None) -> DataFrame:
     """(seed_id, product_id, freq) for every product reached at the given depth."""
     check_items_mode(items)
     if mode not in PATH_MODES:
@@ -89,7 +137,7 @@ def path_counts(store: OrderStore, seeds: DataFrame, depth: int, mode: str = "wa
             t = t.join(sq, "customer_id").join(prev, ["seed_id", "customer_id"], "left")
             if hop == 3:
                 f1 = fs[0].withColumnRenamed("w", "f1")
-                n2 = pair_square_sums(store, f1.select("customer_id").distinct(), items)
+                n2 = pair_square_sums(store, f1.select("customer_id").distinct(), items, hot_rows)
                 t = t.join(f1, ["seed_id", "customer_id"], "left").join(n2, "customer_id", "left")
                 f1c = F.coalesce(F.col("f1"), F.lit(0))
                 fw = fw - f1c * (F.coalesce(F.col("n2"), F.lit(0)) - f1c * f1c)
@@ -103,6 +151,6 @@ def path_counts(store: OrderStore, seeds: DataFrame, depth: int, mode: str = "wa
 
 
 def neighbour_recs(store: OrderStore, seeds: DataFrame, depth: int = 2, mode: str = "walk",
-                   items: str = "bag", k: int = 10) -> DataFrame:
+                   items: str = "bag", k: int = 10, hot_rows: int | None = None) -> DataFrame:
     """C6 (``mode="walk"``) and C7 (``mode="simple"``): top-k products at ``depth``."""
-    return _finish(path_counts(store, seeds, depth, mode, items), k)
+    return _finish(path_counts(store, seeds, depth, mode, items, hot_rows), k)
