@@ -133,7 +133,7 @@ def graph_edges(store: OrderStore) -> DataFrame:
     Built once per store and kept, since every search level scans it."""
     def build():
         placed = store.known_orders()
-        contains = store.items("merged").select("order_id", "product_id").distinct()
+        contains = store.order_products("bag").select("order_id", "product_id")
         sold_by = store.items("bag").select("product_id", "seller_id").distinct()
         return undirected(
             _typed(placed, CUSTOMER, "customer_id", ORDER, "order_id")

@@ -82,14 +82,12 @@ class OrderStore:
     def resolved_items(self) -> DataFrame:
         """Items whose order (with a known customer), product and seller all exist,
         carrying the order's customer: (order_id, customer_id, product_id, seller_id, price)."""
-        def build():
-            it = self.items_raw.select("order_id", "product_id", "seller_id", "price")
-            df = it.join(self.known_orders(), "order_id")
-            if self.resolve:
-                df = (df.join(self.products.select("product_id"), "product_id", "left_semi")
-                        .join(self.sellers.select("seller_id"), "seller_id", "left_semi"))
-            return df.select("order_id", "customer_id", "product_id", "seller_id", "price")
-        return self.derived("items", build)
+        it = self.items_raw.select("order_id", "product_id", "seller_id", "price")
+        df = it.join(self.known_orders(), "order_id")
+        if self.resolve:
+            df = (df.join(self.products.select("product_id"), "product_id", "left_semi")
+                    .join(self.sellers.select("seller_id"), "seller_id", "left_semi"))
+        return df.select("order_id", "customer_id", "product_id", "seller_id", "price")
 
     def items(self, items: str = "bag") -> DataFrame:
         check_items_mode(items)
@@ -99,34 +97,45 @@ class OrderStore:
         return df
 
     # -- weight tables ----------------------------------------------------------------
+    # One pass over the items builds the (order, product) grain for both item modes; the
+    # bag weight counts rows, the merged weight counts distinct prices (a NULL price is
+    # one value, as in a distinct on (order, product, price)).
+
+    def order_product_weights(self) -> DataFrame:
+        """(order_id, customer_id, product_id, w_bag, w_merged), kept."""
+        return self.derived("op", lambda: (
+            self.resolved_items().groupBy("order_id", "customer_id", "product_id", "price")
+            .agg(F.count(F.lit(1)).alias("rows"))
+            .groupBy("order_id", "customer_id", "product_id")
+            .agg(F.sum("rows").alias("w_bag"), F.count(F.lit(1)).alias("w_merged"))))
+
+    def customer_product_weights(self) -> DataFrame:
+        """(customer_id, product_id, w_bag, w_merged), kept."""
+        return self.derived("cp", lambda: (
+            self.order_product_weights().groupBy("customer_id", "product_id")
+            .agg(F.sum("w_bag").alias("w_bag"), F.sum("w_merged").alias("w_merged"))))
 
     def customer_products(self, items: str = "bag") -> DataFrame:
         """m(customer_id, product_id, w): one row per pair with at least one item."""
-        key = f"m-{items}"
-        if key not in self._memo:
-            m = (self.items(items).groupBy("customer_id", "product_id")
-                 .agg(F.count(F.lit(1)).alias("w")))
-            self._keep(key, m)
-        return self._memo[key]
+        check_items_mode(items)
+        return self.customer_product_weights().select(
+            "customer_id", "product_id", F.col(f"w_{items}").alias("w"))
 
     def order_products(self, items: str = "bag") -> DataFrame:
         """n(order_id, product_id, w): item rows of a product inside one order."""
-        key = f"n-{items}"
-        if key not in self._memo:
-            n = (self.items(items).groupBy("order_id", "product_id")
-                 .agg(F.count(F.lit(1)).alias("w")))
-            self._keep(key, n)
-        return self._memo[key]
+        check_items_mode(items)
+        return self.order_product_weights().select(
+            "order_id", "product_id", F.col(f"w_{items}").alias("w"))
 
     def self_weight(self, items: str = "bag") -> DataFrame:
         """sq(customer_id, sq) = sum over products of m(c,p)^2: the weight of the walks
         c - p - c that return to the same customer."""
-        key = f"sq-{items}"
-        if key not in self._memo:
-            sq = (self.customer_products(items).groupBy("customer_id")
-                  .agg(F.sum(F.col("w") * F.col("w")).alias("sq")))
-            self._keep(key, sq)
-        return self._memo[key]
+        check_items_mode(items)
+        sq = self.derived("sq", lambda: (
+            self.customer_product_weights().groupBy("customer_id")
+            .agg(F.sum(F.col("w_bag") * F.col("w_bag")).alias("sq_bag"),
+                 F.sum(F.col("w_merged") * F.col("w_merged")).alias("sq_merged"))))
+        return sq.select("customer_id", F.col(f"sq_{items}").alias("sq"))
 
     def customer_product_pairs(self) -> DataFrame:
         """Distinct (customer_id, product_id): the customer-product graph for reachability."""
