@@ -47,7 +47,19 @@ def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     return df
 
 
+_MEASURED: list[DataFrame] = []
+
+
 def measured(df: DataFrame) -> DataFrame:
-    """Cache a small, reused frame, count it, and broadcast it if the count allows."""
+    """Cache a small, reused frame (a seed set, a seed's neighbourhood), count it, and
+    broadcast it if the count allows. The cache is a short lineage (a filter or join of a
+    kept table), so a lost block is recomputed; ``release_measured`` frees them all."""
     df = df.cache()
+    _MEASURED.append(df)
     return broadcast_if_small(df, df.count())
+
+
+def release_measured() -> None:
+    """Unpersist every frame cached by ``measured`` (call once results are consumed)."""
+    while _MEASURED:
+        _MEASURED.pop().unpersist()

@@ -9,7 +9,6 @@ the checkpoint plus an idempotent per-batch write).
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -37,11 +36,8 @@ def _logical(df: DataFrame, layout: dict, entity: str) -> DataFrame:
     return df.select(*picked)
 
 
-def _stored(spark: SparkSession, target: str, batch_id: int) -> DataFrame | None:
-    try:
-        return spark.read.parquet(target).where(F.col("batch_id") != batch_id).drop("batch_id")
-    except AnalysisException:
-        return None
+def _stored(spark: SparkSession, target: str, batch_id: int) -> DataFrame:
+    return spark.read.parquet(target).where(F.col("batch_id") != batch_id).drop("batch_id")
 
 
 def start_incremental_load(spark: SparkSession, source_dir: str, entity: str, target: str,
@@ -61,6 +57,9 @@ def start_incremental_load(spark: SparkSession, source_dir: str, entity: str, ta
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     stream = _logical(reader.csv(source_dir), layout, entity)
+    # The table starts as an empty batch, so every micro-batch can read what is stored.
+    (spark.createDataFrame([], stream.schema).write.mode("ignore")
+          .parquet(f"{target.rstrip('/')}/batch_id=-1"))
 
     def load_batch(batch: DataFrame, batch_id: int) -> None:
         kept = load_ignore_duplicates(batch, _stored(batch.sparkSession, target, batch_id), keys)
