@@ -23,6 +23,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.skew import split_hot_join
 from .sources.entities import read_entities
 
 ITEM_MODES = ("bag", "merged")
@@ -35,13 +36,15 @@ def check_items_mode(items: str) -> None:
 
 class OrderStore:
     def __init__(self, customers: DataFrame, products: DataFrame, sellers: DataFrame,
-                 orders: DataFrame, items: DataFrame, resolve: bool = True):
+                 orders: DataFrame, items: DataFrame, resolve: bool = True,
+                 hot_rows: int | None = None):
         self.customers = customers
         self.products = products
         self.sellers = sellers
         self.orders = orders
         self.items_raw = items
         self.resolve = resolve
+        self.hot_rows = hot_rows
         self._memo: dict = {}
 
     @property
@@ -74,16 +77,21 @@ class OrderStore:
 
     def known_orders(self) -> DataFrame:
         """Orders whose customer exists: (order_id, customer_id)."""
-        o = self.orders.select("order_id", "customer_id")
-        if not self.resolve:
-            return o
-        return o.join(self.customers.select("customer_id"), "customer_id", "left_semi")
+        def build():
+            o = self.orders.select("order_id", "customer_id")
+            if not self.resolve:
+                return o
+            # One customer may place a large share of all orders.
+            return split_hot_join(o, self.customers.select("customer_id"), "customer_id",
+                                  "left_semi", self.hot_rows)
+        return self.derived("orders", build)
 
     def resolved_items(self) -> DataFrame:
         """Items whose order (with a known customer), product and seller all exist,
         carrying the order's customer: (order_id, customer_id, product_id, seller_id, price)."""
         it = self.items_raw.select("order_id", "product_id", "seller_id", "price")
-        df = it.join(self.known_orders(), "order_id")
+        # One order may hold a large share of all items.
+        df = split_hot_join(it, self.known_orders(), "order_id", "inner", self.hot_rows)
         if self.resolve:
             df = (df.join(self.products.select("product_id"), "product_id", "left_semi")
                     .join(self.sellers.select("seller_id"), "seller_id", "left_semi"))
