@@ -32,9 +32,15 @@ seed AS (SELECT customer_id AS seed_id FROM customer_pool)"""
 ALL_PRODUCTS = PRODUCT_POOL + """,
 seed AS (SELECT product_id AS seed_id FROM product_pool)"""
 
-CONTEM = """contem AS (
-    SELECT DISTINCT l_orderkey AS order_id, l_partkey AS product_id, l_extendedprice AS price
-    FROM lineitem)"""
+# Item rows with their customer: every row of the items table (bag), or one row per
+# distinct (order, product, price) (merged).
+ROWS = """bag AS (
+    SELECT o.o_custkey AS cust, o.o_orderkey AS ord, li.l_partkey AS part
+    FROM lineitem li JOIN orders o ON o.o_orderkey = li.l_orderkey),
+merged AS (
+    SELECT DISTINCT o.o_custkey AS cust, o.o_orderkey AS ord, li.l_partkey AS part,
+           li.l_extendedprice AS price
+    FROM lineitem li JOIN orders o ON o.o_orderkey = li.l_orderkey)"""
 
 TOPK = """
 SELECT seed_id, product_id, CAST(freq AS BIGINT) AS freq, CAST(rank AS INTEGER) AS rank
@@ -43,110 +49,88 @@ FROM (SELECT seed_id, product_id, freq,
       FROM counts) ranked
 WHERE rank <= 10"""
 
-ALSO_BOUGHT_ANY = """counts AS (
-    SELECT s.seed_id, i2.l_partkey AS product_id, COUNT(*) AS freq
-    FROM seed s
-    JOIN lineitem i1 ON i1.l_partkey = s.seed_id
-    JOIN orders o1 ON i1.l_orderkey = o1.o_orderkey
-    JOIN customer c ON o1.o_custkey = c.c_custkey
-    JOIN orders o2 ON c.c_custkey = o2.o_custkey
-    JOIN lineitem i2 ON o2.o_orderkey = i2.l_orderkey
-    JOIN part p2 ON i2.l_partkey = p2.p_partkey
-    WHERE i2.l_partkey <> s.seed_id
-    GROUP BY s.seed_id, i2.l_partkey)"""
-
-ALSO_BOUGHT_DIFFERENT = CONTEM + """,
-counts AS (
-    SELECT s.seed_id, e2.product_id, COUNT(*) AS freq
-    FROM seed s
-    JOIN contem e1 ON e1.product_id = s.seed_id
-    JOIN orders o1 ON e1.order_id = o1.o_orderkey
-    JOIN customer c ON o1.o_custkey = c.c_custkey
-    JOIN orders o2 ON o2.o_custkey = c.c_custkey AND o2.o_orderkey <> o1.o_orderkey
-    JOIN contem e2 ON e2.order_id = o2.o_orderkey
-    WHERE e2.product_id <> s.seed_id
-    GROUP BY s.seed_id, e2.product_id)"""
 
-BOUGHT_TOGETHER = """counts AS (
-    SELECT s.seed_id, i2.l_partkey AS product_id, COUNT(*) AS freq
+def _pairs_by_customer(rows: str, other_order: bool) -> str:
+    extra = " AND y.ord <> x.ord" if other_order else ""
+    return f"""counts AS (
+    SELECT s.seed_id, y.part AS product_id, COUNT(*) AS freq
     FROM seed s
-    JOIN lineitem i1 ON i1.l_partkey = s.seed_id
-    JOIN lineitem i2 ON i1.l_orderkey = i2.l_orderkey
-    WHERE i2.l_partkey <> s.seed_id
-    GROUP BY s.seed_id, i2.l_partkey)"""
+    JOIN {rows} x ON x.part = s.seed_id
+    JOIN customer k ON k.c_custkey = x.cust
+    JOIN {rows} y ON y.cust = x.cust{extra}
+    JOIN part pp ON pp.p_partkey = y.part
+    WHERE y.part <> s.seed_id
+    GROUP BY s.seed_id, y.part)"""
 
-CITY_CATEGORY = """counts AS (
-    SELECT s.seed_id, pt.p_partkey AS product_id, COUNT(*) AS freq
-    FROM seed s
-    JOIN customer c1 ON c1.c_custkey = s.seed_id
-    JOIN customer c2 ON c1.c_nationkey = c2.c_nationkey AND c1.c_custkey <> c2.c_custkey
-    JOIN orders o2 ON c2.c_custkey = o2.o_custkey
-    JOIN lineitem i2 ON o2.o_orderkey = i2.l_orderkey
-    JOIN part pt ON i2.l_partkey = pt.p_partkey
-    WHERE pt.p_brand IN (
-        SELECT DISTINCT pr.p_brand
-        FROM orders o1 JOIN lineitem i1 ON o1.o_orderkey = i1.l_orderkey
-        JOIN part pr ON i1.l_partkey = pr.p_partkey
-        WHERE o1.o_custkey = s.seed_id)
-    GROUP BY s.seed_id, pt.p_partkey)"""
-
-OWN_PRODUCTS = """counts AS (
-    SELECT s.seed_id, p.p_partkey AS product_id, COUNT(*) AS freq
-    FROM seed s
-    JOIN orders o ON o.o_custkey = s.seed_id
-    JOIN lineitem i ON o.o_orderkey = i.l_orderkey
-    JOIN part p ON i.l_partkey = p.p_partkey
-    GROUP BY s.seed_id, p.p_partkey)"""
 
-OWN_PRODUCTS_MERGED = CONTEM + """,
+ALSO_BOUGHT_ANY = _pairs_by_customer("bag", False)
+ALSO_BOUGHT_DIFFERENT = _pairs_by_customer("merged", True)
+
+BOUGHT_TOGETHER = """counts AS (
+    SELECT s.seed_id, y.part AS product_id, COUNT(*) AS freq
+    FROM seed s
+    JOIN bag x ON x.part = s.seed_id
+    JOIN bag y ON y.ord = x.ord
+    WHERE y.part <> s.seed_id
+    GROUP BY s.seed_id, y.part)"""
+
+CITY_CATEGORY = """seed_brands AS (
+    SELECT DISTINCT s.seed_id, pp.p_brand AS brand
+    FROM seed s JOIN bag x ON x.cust = s.seed_id JOIN part pp ON pp.p_partkey = x.part),
 counts AS (
-    SELECT s.seed_id, e.product_id, COUNT(*) AS freq
+    SELECT s.seed_id, y.part AS product_id, COUNT(*) AS freq
     FROM seed s
-    JOIN orders o ON o.o_custkey = s.seed_id
-    JOIN contem e ON e.order_id = o.o_orderkey
-    GROUP BY s.seed_id, e.product_id)"""
+    JOIN customer me ON me.c_custkey = s.seed_id
+    JOIN customer nb ON nb.c_nationkey = me.c_nationkey AND nb.c_custkey <> me.c_custkey
+    JOIN bag y ON y.cust = nb.c_custkey
+    JOIN part pp ON pp.p_partkey = y.part
+    JOIN seed_brands sb ON sb.seed_id = s.seed_id AND sb.brand = pp.p_brand
+    GROUP BY s.seed_id, y.part)"""
 
-WALK_D2 = """counts AS (
-    SELECT s.seed_id, p_rec.p_partkey AS product_id, COUNT(*) AS freq
+
+def _own(rows: str) -> str:
+    return f"""counts AS (
+    SELECT s.seed_id, x.part AS product_id, COUNT(*) AS freq
     FROM seed s
-    JOIN orders o1 ON o1.o_custkey = s.seed_id
-    JOIN lineitem i1 ON o1.o_orderkey = i1.l_orderkey
-    JOIN lineitem i2 ON i1.l_partkey = i2.l_partkey
-    JOIN orders o2 ON i2.l_orderkey = o2.o_orderkey
-    JOIN orders o3 ON o2.o_custkey = o3.o_custkey
-    JOIN lineitem i3 ON o3.o_orderkey = i3.l_orderkey
-    JOIN part p_rec ON i3.l_partkey = p_rec.p_partkey
-    WHERE o2.o_custkey <> s.seed_id
-    GROUP BY s.seed_id, p_rec.p_partkey)"""
-
-WALK_D3 = """counts AS (
-    SELECT s.seed_id, p_final.p_partkey AS product_id, COUNT(*) AS freq
+    JOIN {rows} x ON x.cust = s.seed_id
+    JOIN part pp ON pp.p_partkey = x.part
+    GROUP BY s.seed_id, x.part)"""
+
+
+OWN_PRODUCTS = _own("bag")
+OWN_PRODUCTS_MERGED = _own("merged")
+
+
+def _chain(rows: str, depth: int, simple: bool) -> str:
+    """Literal paths: the seed's item rows, then (depth - 1) times an item row of the same
+    product bought by another customer followed by any item row of that customer."""
+    joins = [f"JOIN {rows} r0 ON r0.cust = s.seed_id"]
+    conds = []
+    last = "r0"
+    for hop in range(1, depth):
+        via, nxt = f"v{hop}", f"r{hop}"
+        joins.append(f"JOIN {rows} {via} ON {via}.part = {last}.part")
+        joins.append(f"JOIN {rows} {nxt} ON {nxt}.cust = {via}.cust")
+        conds.append(f"{via}.cust <> s.seed_id")
+        if simple:
+            conds += [f"{via}.cust <> v{h}.cust" for h in range(1, hop)]
+        last = nxt
+    return f"""counts AS (
+    SELECT s.seed_id, {last}.part AS product_id, COUNT(*) AS freq
     FROM seed s
-    JOIN orders o1 ON o1.o_custkey = s.seed_id
-    JOIN lineitem i1 ON o1.o_orderkey = i1.l_orderkey
-    JOIN lineitem i2 ON i1.l_partkey = i2.l_partkey
-    JOIN orders o2 ON i2.l_orderkey = o2.o_orderkey
-    JOIN orders o3 ON o2.o_custkey = o3.o_custkey
-    JOIN lineitem i3 ON o3.o_orderkey = i3.l_orderkey
-    JOIN lineitem i4 ON i3.l_partkey = i4.l_partkey
-    JOIN orders o4 ON i4.l_orderkey = o4.o_orderkey
-    JOIN orders o5 ON o4.o_custkey = o5.o_custkey
-    JOIN lineitem i5 ON o5.o_orderkey = i5.l_orderkey
-    JOIN part p_final ON i5.l_partkey = p_final.p_partkey
-    WHERE o2.o_custkey <> s.seed_id AND o4.o_custkey <> s.seed_id
-    GROUP BY s.seed_id, p_final.p_partkey)"""
+    {chr(10).join('    ' + j for j in joins).strip()}
+    JOIN part pp ON pp.p_partkey = {last}.part
+    WHERE {' AND '.join(conds)}
+    GROUP BY s.seed_id, {last}.part)"""
+
+
+WALK_D2 = _chain("bag", 2, False)
+WALK_D3 = _chain("bag", 3, False)
 
 # Path counts carried level by level (the literal depth-4 join lists ~1e11 paths).
-M_BAG = """m AS (
-    SELECT o.o_custkey AS c, i.l_partkey AS p, COUNT(*) AS w
-    FROM orders o JOIN lineitem i ON o.o_orderkey = i.l_orderkey
-    GROUP BY o.o_custkey, i.l_partkey)"""
+M_BAG = """m AS (SELECT cust AS c, part AS p, COUNT(*) AS w FROM bag GROUP BY cust, part)"""
 
-M_MERGED = CONTEM + """,
-m AS (
-    SELECT o.o_custkey AS c, e.product_id AS p, COUNT(*) AS w
-    FROM orders o JOIN contem e ON e.order_id = o.o_orderkey
-    GROUP BY o.o_custkey, e.product_id)"""
+M_MERGED = """m AS (SELECT cust AS c, part AS p, COUNT(*) AS w FROM merged GROUP BY cust, part)"""
 
 
 def _to_customers(src: str, dst: str) -> str:
@@ -178,36 +162,8 @@ WALK_D3_COUNTED = ",\n".join([
     _to_customers("g1", "f2"), _to_products("f2", "g2"),
     "counts AS (SELECT seed_id, p AS product_id, w AS freq FROM g2)"])
 
-SIMPLE_D2 = CONTEM + """,
-counts AS (
-    SELECT s.seed_id, e3.product_id, COUNT(*) AS freq
-    FROM seed s
-    JOIN orders oa ON oa.o_custkey = s.seed_id
-    JOIN contem e1 ON e1.order_id = oa.o_orderkey
-    JOIN contem e2 ON e2.product_id = e1.product_id
-    JOIN orders ob ON ob.o_orderkey = e2.order_id
-    JOIN orders oc ON oc.o_custkey = ob.o_custkey
-    JOIN contem e3 ON e3.order_id = oc.o_orderkey
-    WHERE ob.o_custkey <> s.seed_id
-    GROUP BY s.seed_id, e3.product_id)"""
-
-SIMPLE_D3 = CONTEM + """,
-counts AS (
-    SELECT s.seed_id, e5.product_id, COUNT(*) AS freq
-    FROM seed s
-    JOIN orders oa ON oa.o_custkey = s.seed_id
-    JOIN contem e1 ON e1.order_id = oa.o_orderkey
-    JOIN contem e2 ON e2.product_id = e1.product_id
-    JOIN orders ob ON ob.o_orderkey = e2.order_id
-    JOIN orders oc ON oc.o_custkey = ob.o_custkey
-    JOIN contem e3 ON e3.order_id = oc.o_orderkey
-    JOIN contem e4 ON e4.product_id = e3.product_id
-    JOIN orders od ON od.o_orderkey = e4.order_id
-    JOIN orders oe ON oe.o_custkey = od.o_custkey
-    JOIN contem e5 ON e5.order_id = oe.o_orderkey
-    WHERE ob.o_custkey <> s.seed_id AND od.o_custkey <> ob.o_custkey
-      AND od.o_custkey <> s.seed_id
-    GROUP BY s.seed_id, e5.product_id)"""
+SIMPLE_D2 = _chain("merged", 2, True)
+SIMPLE_D3 = _chain("merged", 3, True)
 
 SIMPLE_D4 = ",\n".join([
     M_MERGED,
@@ -239,7 +195,7 @@ SIMPLE_D4 = ",\n".join([
 
 
 def _rec(seed_cte: str, body: str) -> str:
-    return f"WITH {seed_cte},\n{body}\n{TOPK}"
+    return f"WITH {seed_cte},\n{ROWS},\n{body}\n{TOPK}"
 
 
 PAIRS = CUSTOMER_POOL + """,
