@@ -85,3 +85,51 @@ def require_unique(df: DataFrame, keys: list[str]) -> None:
     dup = check_unique(df, keys).limit(1).count()
     if dup:
         raise ValueError(f"key {keys} is not unique")
+
+
+def load_entities(spark, root: str, layout: dict | None = None, fmt: str = "csv",
+                  stored: dict[str, DataFrame] | None = None,
+                  order_by: dict[str, str] | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The load run: every entity in foreign-key order (dimensions first, items last) is
+    read (A1), loses its rows whose key is already stored or repeats within the file (A2),
+    and is reported (A3). A table that fails (missing file, unreadable columns) is
+    reported as failed and the run goes on, as the original loader did.
+
+    Returns the rows to add per table and the report; ``raise_if_failed`` turns failures
+    into an error for a non-zero exit.
+    """
+    from ..layout import ENTITIES, KEYS
+    from ..sources.entities import read_entity
+
+    stored = stored or {}
+    order_by = order_by or {}
+    kept: dict[str, DataFrame] = {}
+    loads: dict[str, tuple[DataFrame, DataFrame]] = {}
+    failed: dict[str, str] = {}
+    for entity in ENTITIES:
+        try:
+            new = read_entity(spark, root, entity, layout, fmt)
+            new.schema  # resolves the columns now, so a bad file fails here
+            rows = load_ignore_duplicates(new, stored.get(entity), KEYS[entity],
+                                          order_by.get(entity))
+        except Exception as exc:  # noqa: BLE001 - every failure is reported per table
+            failed[entity] = str(exc).splitlines()[0][:300]
+            continue
+        kept[entity] = rows
+        loads[entity] = (new, rows)
+    if not loads:
+        report = spark.createDataFrame(
+            [(t, None, None, None, "failed", e) for t, e in failed.items()],
+            "table_name string, rows_read long, rows_kept long, rows_skipped long, "
+            "status string, error string")
+    else:
+        report = load_report(loads, failed)
+    return kept, report
+
+
+def raise_if_failed(report: DataFrame) -> None:
+    """Raise when any table of a load report failed (the loader's non-zero exit)."""
+    bad = [r.table_name for r in report.where(F.col("status") == "failed")
+           .select("table_name").collect()]
+    if bad:
+        raise RuntimeError(f"load failed for tables: {', '.join(sorted(bad))}")

@@ -113,9 +113,15 @@ def pair_square_sums(store: OrderStore, customers: DataFrame, items: str,
             .select("customer_id", (F.col("v") - F.col("sq") * F.col("sq")).alias("n2")))
 
 
+WIDE = "decimal(38,0)"
+
+
 def path_counts(store: OrderStore, seeds: DataFrame, depth: int, mode: str = "walk",
-                items: str = "bag", hot_rows: int | None = None) -> DataFrame:
-    """(seed_id, product_id, freq) for every product reached at the given depth."""
+                items: str = "bag", hot_rows: int | None = None, wide: bool = False) -> DataFrame:
+    """(seed_id, product_id, freq) for every product reached at the given depth.
+
+    Counts are longs; an overflow raises (ANSI arithmetic). ``wide=True`` carries them as
+    decimal(38,0) instead."""
     check_items_mode(items)
     if mode not in PATH_MODES:
         raise ValueError(f"mode must be one of {PATH_MODES}, got {mode!r}")
@@ -125,6 +131,8 @@ def path_counts(store: OrderStore, seeds: DataFrame, depth: int, mode: str = "wa
         raise ValueError(f"simple paths are supported up to depth {MAX_SIMPLE_DEPTH}")
     s = seed_frame(seeds)
     m = store.customer_products(items)
+    if wide:
+        m = m.withColumn("w", F.col("w").cast(WIDE))
     g, g_rows = pin(m.join(s, m.customer_id == s.seed_id).select("seed_id", "product_id", "w"),
                     "paths-g0")
     fs: list[DataFrame] = []
@@ -132,12 +140,16 @@ def path_counts(store: OrderStore, seeds: DataFrame, depth: int, mode: str = "wa
         t = _spread_to_customers(g, g_rows, m)
         if mode == "simple" and hop >= 2:
             sq = store.self_weight(items)
+            if wide:
+                sq = sq.withColumn("sq", F.col("sq").cast(WIDE))
             prev = fs[-1].withColumnRenamed("w", "prev")
             fw = F.col("w") - F.coalesce(F.col("prev"), F.lit(0)) * F.col("sq")
             t = t.join(sq, "customer_id").join(prev, ["seed_id", "customer_id"], "left")
             if hop == 3:
                 f1 = fs[0].withColumnRenamed("w", "f1")
                 n2 = pair_square_sums(store, f1.select("customer_id").distinct(), items, hot_rows)
+                if wide:
+                    n2 = n2.withColumn("n2", F.col("n2").cast(WIDE))
                 t = t.join(f1, ["seed_id", "customer_id"], "left").join(n2, "customer_id", "left")
                 f1c = F.coalesce(F.col("f1"), F.lit(0))
                 fw = fw - f1c * (F.coalesce(F.col("n2"), F.lit(0)) - f1c * f1c)
@@ -151,6 +163,7 @@ def path_counts(store: OrderStore, seeds: DataFrame, depth: int, mode: str = "wa
 
 
 def neighbour_recs(store: OrderStore, seeds: DataFrame, depth: int = 2, mode: str = "walk",
-                   items: str = "bag", k: int = 10, hot_rows: int | None = None) -> DataFrame:
+                   items: str = "bag", k: int = 10, hot_rows: int | None = None,
+                   wide: bool = False) -> DataFrame:
     """C6 (``mode="walk"``) and C7 (``mode="simple"``): top-k products at ``depth``."""
-    return _finish(path_counts(store, seeds, depth, mode, items, hot_rows), k)
+    return _finish(path_counts(store, seeds, depth, mode, items, hot_rows, wide), k, wide)

@@ -27,9 +27,10 @@ def seed_frame(seeds: DataFrame) -> DataFrame:
     return measured(seeds.select("seed_id").distinct())
 
 
-def _finish(pairs: DataFrame, k: int) -> DataFrame:
+def _finish(pairs: DataFrame, k: int, wide: bool = False) -> DataFrame:
     out = top_k(pairs, ["seed_id"], "freq", "product_id", k)
-    return out.select("seed_id", "product_id", F.col("freq").cast("long").alias("freq"),
+    freq = F.col("freq") if wide else F.col("freq").cast("long")
+    return out.select("seed_id", "product_id", freq.alias("freq"),
                       F.col("rank").cast("int").alias("rank"))
 
 
@@ -115,7 +116,8 @@ def city_category_recs(store: OrderStore, seeds: DataFrame, items: str = "bag",
     seed_city = measured(
         s.join(cust, s.seed_id == cust.customer_id).select("seed_id", "city"))
     # Customers of the seeds' cities only, then (city, product) totals.
-    city_customers = cust.join(seed_city.select("city").distinct(), "city", "left_semi")
+    city_customers = measured(
+        cust.join(seed_city.select("city").distinct(), "city", "left_semi"))
     totals = (m.join(city_customers, "customer_id")
                .groupBy("city", "product_id").agg(F.sum("w").alias("total")))
     own = (m.join(s, m.customer_id == s.seed_id)

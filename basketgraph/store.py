@@ -34,10 +34,30 @@ def check_items_mode(items: str) -> None:
         raise ValueError(f"items must be one of {ITEM_MODES}, got {items!r}")
 
 
+def rekey_customers(customers: DataFrame, orders: DataFrame, key: str,
+                    hot_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Key customers by another column, such as the person behind per-order customer ids.
+
+    Orders take the new key of their customer (orders of unknown customers drop out, as
+    they would at resolution); customers become one row per new key, with the smallest
+    city when the merged rows disagree.
+    """
+    mapping = customers.select(F.col("customer_id").alias("_cid"), F.col(key).alias("_key"))
+    rekeyed = split_hot_join(orders.withColumnRenamed("customer_id", "_cid"), mapping, "_cid",
+                             "inner", hot_rows)
+    cols = [F.col("_key").alias("customer_id") if c == "customer_id" else F.col(c)
+            for c in orders.columns]
+    people = (customers.groupBy(F.col(key).alias("customer_id"))
+              .agg(F.min("city").alias("city")))
+    return people, rekeyed.select(*cols)
+
+
 class OrderStore:
     def __init__(self, customers: DataFrame, products: DataFrame, sellers: DataFrame,
                  orders: DataFrame, items: DataFrame, resolve: bool = True,
-                 hot_rows: int | None = None):
+                 hot_rows: int | None = None, customer_key: str = "customer_id"):
+        if customer_key != "customer_id":
+            customers, orders = rekey_customers(customers, orders, customer_key, hot_rows)
         self.customers = customers
         self.products = products
         self.sellers = sellers
@@ -53,9 +73,11 @@ class OrderStore:
 
     @classmethod
     def from_dir(cls, spark: SparkSession, root: str, layout: dict | None = None,
-                 fmt: str = "parquet", resolve: bool = True) -> "OrderStore":
+                 fmt: str = "parquet", resolve: bool = True, hot_rows: int | None = None,
+                 customer_key: str = "customer_id") -> "OrderStore":
         t = read_entities(spark, root, layout, fmt)
-        return cls(t["customers"], t["products"], t["sellers"], t["orders"], t["items"], resolve)
+        return cls(t["customers"], t["products"], t["sellers"], t["orders"], t["items"],
+                   resolve, hot_rows, customer_key)
 
     def _keep(self, key: str, df: DataFrame) -> DataFrame:
         if key not in self._memo:
