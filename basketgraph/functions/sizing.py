@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
-MAX_BROADCAST_ROWS_KEY = "basketgraph.maxBroadcastRows"
+MAX_BROADCAST_ROWS_KEY = "spark.basketgraph.maxBroadcastRows"
 DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .sizing import broadcast_if_small, pin
 
-HOT_KEY_ROWS_KEY = "basketgraph.hotKeyRows"
+HOT_KEY_ROWS_KEY = "spark.basketgraph.hotKeyRows"
 DEFAULT_HOT_KEY_ROWS = 1_000_000
 
 

@@ -51,7 +51,7 @@ def _spread_to_products(f: DataFrame, f_rows: int, m: DataFrame) -> DataFrame:
              .agg(F.sum(F.col("fw") * F.col("w")).alias("w")))
 
 
-HOT_GROUP_KEY = "basketgraph.hotGroupRows"
+HOT_GROUP_KEY = "spark.basketgraph.hotGroupRows"
 DEFAULT_HOT_GROUP_ROWS = 10_000
 
 
@@ -82,8 +82,7 @@ def pair_square_sums(store: OrderStore, customers: DataFrame, items: str,
         hot_rows = int(spark.conf.get(HOT_GROUP_KEY, str(DEFAULT_HOT_GROUP_ROWS)))
     m = store.customer_products(items)
     # At most |m| / hot_rows hot products; their count is measured before any broadcast.
-    hot, n_hot = pin(m.groupBy("product_id").agg(F.count(F.lit(1)).alias("deg"))
-                      .where(F.col("deg") > hot_rows).select("product_id"), "n2-hot")
+    hot, n_hot = store.hot_products(hot_rows)
     hot_side = broadcast_if_small(hot, n_hot)
     mine, rows = pin(m.join(customers, "customer_id", "left_semi"), "n2-rows")
     mine_cold = mine.join(hot_side, "product_id", "left_anti")

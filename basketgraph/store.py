@@ -91,8 +91,10 @@ class OrderStore:
         return self._memo[key]
 
     def unpersist(self) -> None:
-        for df in self._memo.values():
-            df.unpersist()
+        for v in self._memo.values():
+            df = v[0] if isinstance(v, tuple) else v
+            if isinstance(df, DataFrame):
+                df.unpersist()
         self._memo.clear()
 
     # -- resolved relational tables ---------------------------------------------------
@@ -167,6 +169,17 @@ class OrderStore:
                  F.sum(F.col("w_merged") * F.col("w_merged")).alias("sq_merged"))))
         return sq.select("customer_id", F.col(f"sq_{items}").alias("sq"))
 
+    def hot_products(self, hot_rows: int) -> tuple[DataFrame, int]:
+        """Products bought by more than ``hot_rows`` customers, kept with their count."""
+        key = f"hot-products-{hot_rows}"
+        if key not in self._memo:
+            hot = (self.customer_product_weights().groupBy("product_id")
+                   .agg(F.count(F.lit(1)).alias("deg")).where(F.col("deg") > hot_rows)
+                   .select("product_id"))
+            hot = hot.persist(StorageLevel.MEMORY_AND_DISK)
+            self._memo[key] = (hot, hot.count())
+        return self._memo[key]
+
     def customer_product_pairs(self) -> DataFrame:
         """Distinct (customer_id, product_id): the customer-product graph for reachability."""
         return self.customer_products("bag").select("customer_id", "product_id")
