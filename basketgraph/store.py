@@ -90,6 +90,30 @@ class OrderStore:
             self._keep(key, build())
         return self._memo[key]
 
+    def materialize(self, path: str | None = None) -> "OrderStore":
+        """Write the derived tables (resolved orders, weights, self-weights) as Parquet and
+        return a store that reads them: the counterpart of loading a database once.
+
+        The written store survives lost executors and new sessions without recomputing
+        anything; ``path`` defaults to a fresh folder under spark.checkpoint.dir.
+        """
+        from .session import scratch_path
+
+        path = (path or scratch_path(self.spark, "store")).rstrip("/")
+        tables = {"orders": self.known_orders(), "op": self.order_product_weights(),
+                  "cp": self.customer_product_weights(),
+                  "sq": self.self_weight("bag").join(self.self_weight("merged")
+                                                      .withColumnRenamed("sq", "sq_merged"),
+                                                      "customer_id")
+                        .withColumnRenamed("sq", "sq_bag")}
+        for name, df in tables.items():
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
+        out = OrderStore(self.customers, self.products, self.sellers, self.orders,
+                         self.items_raw, self.resolve, self.hot_rows)
+        for name in tables:
+            out._memo[name] = self.spark.read.parquet(f"{path}/{name}")
+        return out
+
     def unpersist(self) -> None:
         for v in self._memo.values():
             df = v[0] if isinstance(v, tuple) else v
