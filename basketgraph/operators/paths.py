@@ -116,7 +116,8 @@ WIDE = "decimal(38,0)"
 
 
 def path_counts(store: OrderStore, seeds: DataFrame, depth: int, mode: str = "walk",
-                items: str = "bag", hot_rows: int | None = None, wide: bool = False) -> DataFrame:
+                items: str = "bag", hot_rows: int | None = None, wide: bool = False,
+                seed_rows: int | None = None) -> DataFrame:
     """(seed_id, product_id, freq) for every product reached at the given depth.
 
     Counts are longs; an overflow raises (ANSI arithmetic). ``wide=True`` carries them as
@@ -128,7 +129,7 @@ def path_counts(store: OrderStore, seeds: DataFrame, depth: int, mode: str = "wa
         raise ValueError("depth must be at least 1")
     if mode == "simple" and depth > MAX_SIMPLE_DEPTH:
         raise ValueError(f"simple paths are supported up to depth {MAX_SIMPLE_DEPTH}")
-    s = seed_frame(seeds)
+    s = seed_frame(seeds, seed_rows)
     m = store.customer_products(items)
     if wide:
         m = m.withColumn("w", F.col("w").cast(WIDE))
@@ -163,6 +164,7 @@ def path_counts(store: OrderStore, seeds: DataFrame, depth: int, mode: str = "wa
 
 def neighbour_recs(store: OrderStore, seeds: DataFrame, depth: int = 2, mode: str = "walk",
                    items: str = "bag", k: int = 10, hot_rows: int | None = None,
-                   wide: bool = False) -> DataFrame:
+                   wide: bool = False, seed_rows: int | None = None) -> DataFrame:
     """C6 (``mode="walk"``) and C7 (``mode="simple"``): top-k products at ``depth``."""
-    return _finish(path_counts(store, seeds, depth, mode, items, hot_rows, wide), k, wide)
+    return _finish(path_counts(store, seeds, depth, mode, items, hot_rows, wide, seed_rows),
+                   k, wide)

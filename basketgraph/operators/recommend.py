@@ -16,15 +16,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import top_k
-from ..functions.sizing import measured
+from ..functions.sizing import broadcast_if_small, measured
 from ..store import OrderStore, check_items_mode
 
 ORDER_MODES = ("any", "different")
 
 
-def seed_frame(seeds: DataFrame) -> DataFrame:
-    """Distinct seeds, counted; broadcast only if the count is under the limit."""
-    return measured(seeds.select("seed_id").distinct())
+def seed_frame(seeds: DataFrame, seed_rows: int | None = None) -> DataFrame:
+    """Distinct seeds, broadcast when small. ``seed_rows`` is a bound the caller can prove
+    (a drawn sample, a limited pool); without it the seeds are counted first."""
+    distinct = seeds.select("seed_id").distinct()
+    if seed_rows is not None:
+        return broadcast_if_small(distinct, seed_rows)
+    return measured(distinct)
 
 
 def _finish(pairs: DataFrame, k: int, wide: bool = False) -> DataFrame:
@@ -60,7 +64,7 @@ def _together_counts(store: OrderStore, seeds: DataFrame, items: str) -> DataFra
 
 
 def customers_also_bought(store: OrderStore, seeds: DataFrame, orders: str = "any",
-                          items: str = "bag", k: int = 10) -> DataFrame:
+                          items: str = "bag", k: int = 10, seed_rows: int | None = None) -> DataFrame:
     """C1 (``orders="any"``) and C2 (``orders="different"``).
 
     ``any``: products bought by customers who bought the seed product, counting every
@@ -72,7 +76,7 @@ def customers_also_bought(store: OrderStore, seeds: DataFrame, orders: str = "an
     check_items_mode(items)
     if orders not in ORDER_MODES:
         raise ValueError(f"orders must be one of {ORDER_MODES}, got {orders!r}")
-    s = seed_frame(seeds)
+    s = seed_frame(seeds, seed_rows)
     counts = _also_bought_counts(store, s, items)
     if orders == "different":
         same = _together_counts(store, s, items).withColumn("freq", -F.col("freq"))
@@ -83,17 +87,17 @@ def customers_also_bought(store: OrderStore, seeds: DataFrame, orders: str = "an
 
 
 def bought_together(store: OrderStore, seeds: DataFrame, items: str = "bag",
-                    k: int = 10) -> DataFrame:
+                    k: int = 10, seed_rows: int | None = None) -> DataFrame:
     """Products found in the same order as the seed product."""
     check_items_mode(items)
-    return _finish(_together_counts(store, seed_frame(seeds), items), k)
+    return _finish(_together_counts(store, seed_frame(seeds, seed_rows), items), k)
 
 
 def own_products(store: OrderStore, seeds: DataFrame, items: str = "bag",
-                 k: int = 10) -> DataFrame:
+                 k: int = 10, seed_rows: int | None = None) -> DataFrame:
     """The seed customer's own products with their item counts."""
     check_items_mode(items)
-    s = seed_frame(seeds)
+    s = seed_frame(seeds, seed_rows)
     m = store.customer_products(items)
     own = (m.join(s, m.customer_id == s.seed_id)
             .select("seed_id", "product_id", F.col("w").alias("freq")))
@@ -101,7 +105,7 @@ def own_products(store: OrderStore, seeds: DataFrame, items: str = "bag",
 
 
 def city_category_recs(store: OrderStore, seeds: DataFrame, items: str = "bag",
-                       k: int = 10) -> DataFrame:
+                       k: int = 10, seed_rows: int | None = None) -> DataFrame:
     """C4: items bought by other customers of the seed's city, in the categories the seed
     bought. The seed's own products stay in when others bought them too.
 
@@ -110,7 +114,7 @@ def city_category_recs(store: OrderStore, seeds: DataFrame, items: str = "bag",
     category matches nothing.
     """
     check_items_mode(items)
-    s = seed_frame(seeds)
+    s = seed_frame(seeds, seed_rows)
     m = store.customer_products(items)
     cust = store.customers.select("customer_id", "city").where(F.col("city").isNotNull())
     seed_city = measured(

@@ -95,15 +95,20 @@ def customer_pairs(spark, sf_dir) -> DataFrame:
 
 # --- plans -----------------------------------------------------------------------------
 
+# Row bounds the seed plans prove by construction: one drawn seed, or a pool of POOL.
+SEED_ROWS = {one_customer: 1, one_product: 1, all_customers: POOL, all_products: POOL}
+
+
 def _recs(fn, seeds, **kw):
     def run(spark, sf_dir):
-        return fn(store_for(spark, sf_dir), seeds(spark, sf_dir), **kw)
+        return fn(store_for(spark, sf_dir), seeds(spark, sf_dir), seed_rows=SEED_ROWS[seeds], **kw)
     return run
 
 
 def _neigh(depth, mode, items, seeds=one_customer):
     def run(spark, sf_dir):
-        return P.neighbour_recs(store_for(spark, sf_dir), seeds(spark, sf_dir), depth, mode, items, K)
+        return P.neighbour_recs(store_for(spark, sf_dir), seeds(spark, sf_dir), depth, mode, items,
+                                K, seed_rows=SEED_ROWS[seeds])
     return run
 
 
