@@ -168,3 +168,26 @@ def neighbour_recs(store: OrderStore, seeds: DataFrame, depth: int = 2, mode: st
     """C6 (``mode="walk"``) and C7 (``mode="simple"``): top-k products at ``depth``."""
     return _finish(path_counts(store, seeds, depth, mode, items, hot_rows, wide, seed_rows),
                    k, wide)
+
+
+def neighbour_recs_batched(store: OrderStore, seeds: DataFrame, depth: int = 2,
+                           mode: str = "walk", items: str = "bag", k: int = 10,
+                           seeds_per_job: int = 10_000, path: str | None = None,
+                           hot_rows: int | None = None, wide: bool = False) -> DataFrame:
+    """C6/C7 for very many seeds: the per-level state is seeds x reached customers, so the
+    seeds are spread over jobs of about ``seeds_per_job`` each (by a hash of the id, so no
+    job sorts or collects the seed list). Every job appends its rows to one table under
+    spark.checkpoint.dir (or ``path``); the result reads that table. Every seed is answered.
+    """
+    from ..session import scratch_path
+
+    distinct = seeds.select("seed_id").distinct()
+    n = distinct.count()
+    jobs = max(1, -(-n // seeds_per_job))
+    path = path or scratch_path(store.spark, "recs")
+    bucket = F.pmod(F.xxhash64("seed_id"), F.lit(jobs))
+    for j in range(jobs):
+        part = distinct.where(bucket == j)
+        (neighbour_recs(store, part, depth, mode, items, k, hot_rows, wide)
+         .write.mode("append").parquet(path))
+    return store.spark.read.parquet(path)

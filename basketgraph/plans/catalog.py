@@ -112,6 +112,13 @@ def _neigh(depth, mode, items, seeds=one_customer):
     return run
 
 
+def q_neighbour_recs_active_d2(spark, sf_dir):
+    """Depth-2 recommendations for every active customer, 500 seeds per job."""
+    st = store_for(spark, sf_dir)
+    active = S.active_customers(st, 1, None).select(F.col("customer_id").alias("seed_id"))
+    return P.neighbour_recs_batched(st, active, 2, "walk", "bag", K, seeds_per_job=500)
+
+
 def q_customer_hops(spark, sf_dir):
     return X.customer_hops(store_for(spark, sf_dir), customer_pairs(spark, sf_dir), 4)
 
@@ -269,6 +276,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "neighbour_recs_simple_d3": _neigh(3, "simple", "merged"),
     "neighbour_recs_simple_d4": _neigh(4, "simple", "merged"),
     "neighbour_recs_many_d3": _neigh(3, "walk", "bag", all_customers),
+    "neighbour_recs_active_d2": q_neighbour_recs_active_d2,
     # C8-C9
     "customer_hops": q_customer_hops,
     "shortest_path_length": q_shortest_path_length,

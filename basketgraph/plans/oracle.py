@@ -198,6 +198,11 @@ def _rec(seed_cte: str, body: str) -> str:
     return f"WITH {seed_cte},\n{ROWS},\n{body}\n{TOPK}"
 
 
+ACTIVE_CUSTOMERS = """seed AS (
+    SELECT o.o_custkey AS seed_id
+    FROM orders o JOIN lineitem i ON o.o_orderkey = i.l_orderkey
+    GROUP BY o.o_custkey HAVING COUNT(i.l_partkey) > 1)"""
+
 PAIRS = CUSTOMER_POOL + """,
 pairs AS (
     SELECT source_id, target_id FROM (
@@ -300,6 +305,7 @@ ORACLE_SQL: dict[str, str] = {
     "neighbour_recs_simple_d3": _rec(ONE_CUSTOMER, SIMPLE_D3),
     "neighbour_recs_simple_d4": _rec(ONE_CUSTOMER, SIMPLE_D4),
     "neighbour_recs_many_d3": _rec(ALL_CUSTOMERS, WALK_D3_COUNTED),
+    "neighbour_recs_active_d2": _rec(ACTIVE_CUSTOMERS, WALK_D2),
     "customer_hops": _hops_sql(4),
     "shortest_path_length": _path_length_sql(10),
     "graph_vertices": """
