@@ -50,7 +50,7 @@ def main() -> None:
     # The scratch folder is the session's spark.checkpoint.dir; build_session names one
     # only when the environment has none.
     extra = {"spark.driver.memory": "16g"}
-    spark = build_session(f"local[{cpus}]", 2 * cpus, "basketgraph-bench", extra)
+    spark = build_session(f"local[{cpus}]", cpus, "basketgraph-bench", extra)
 
     times: dict[str, float] = {}
     t0 = time.time()
