@@ -23,7 +23,7 @@ from ..operators import seeds as S
 from ..session import scratch_path
 from ..sources.entities import read_entity
 from ..sources.runlog import runs_from_events
-from ..sources.sinks import read_snapshot, write_results, write_snapshot
+from ..sources.sinks import read_results, read_snapshot, write_results, write_snapshot
 from ..store import OrderStore
 from ..streaming.ingest import loaded_table, start_incremental_load
 
@@ -220,6 +220,22 @@ def q_incremental_load(spark, sf_dir):
     return loaded_table(spark, f"{root}/table")
 
 
+def q_results_csv(spark, sf_dir):
+    """The run summary written as a headered CSV result file (A11) and read back."""
+    path = scratch_path(spark, "results")
+    summary = D.run_summary(_runs(spark, sf_dir), 5)
+    write_results(summary, path)
+    return read_results(spark, path, summary.schema)
+
+
+def q_active_customers_over_60(spark, sf_dir):
+    return S.active_customers(store_for(spark, sf_dir), 60, None)
+
+
+def q_popular_products_over_40(spark, sf_dir):
+    return S.popular_products(store_for(spark, sf_dir), 40, None)
+
+
 def q_active_customers(spark, sf_dir):
     return S.active_customers(store_for(spark, sf_dir), 1, POOL)
 
@@ -293,7 +309,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "snapshot_overwrite": q_snapshot_overwrite,
     "incremental_load": q_incremental_load,
     # B
+    "results_csv": q_results_csv,
     "active_customers": q_active_customers,
+    "active_customers_over_60": q_active_customers_over_60,
+    "popular_products_over_40": q_popular_products_over_40,
     "popular_products": q_popular_products,
     "draw_seeds": q_draw_seeds,
     "seed_pairs": q_seed_pairs,

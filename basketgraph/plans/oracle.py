@@ -379,10 +379,18 @@ SELECT CAST(o_orderkey AS VARCHAR) AS order_id, CAST(o_custkey AS VARCHAR) AS cu
 SELECT customer_id, n_items FROM customer_pool
 ORDER BY md5(CAST(customer_id AS VARCHAR) || ':42'), customer_id LIMIT 5""",
     "seed_pairs": "WITH " + PAIRS + " SELECT source_id, target_id FROM pairs",
+    "active_customers_over_60": """
+SELECT o.o_custkey AS customer_id, CAST(COUNT(i.l_partkey) AS BIGINT) AS n_items
+FROM orders o JOIN lineitem i ON o.o_orderkey = i.l_orderkey
+GROUP BY o.o_custkey HAVING COUNT(i.l_partkey) > 60""",
+    "popular_products_over_40": """
+SELECT l_partkey AS product_id, CAST(COUNT(l_orderkey) AS BIGINT) AS n_orders
+FROM lineitem GROUP BY l_partkey HAVING COUNT(l_orderkey) > 40""",
     "seeds_with_fallback": "WITH " + CUSTOMER_POOL + " SELECT customer_id FROM customer_pool",
     "timed_runs": "WITH " + RUNS + """
 SELECT engine, query, iteration, elapsed_ms, failed FROM flagged WHERE NOT warm""",
     "run_summary": "WITH " + SUMMARY + " SELECT * FROM summary",
+    "results_csv": "WITH " + SUMMARY + " SELECT * FROM summary",
     "compare_runs": "WITH " + SUMMARY + """
 SELECT query,
        MAX(mean_ms) FILTER (WHERE engine = 'view') AS view_mean_ms,
