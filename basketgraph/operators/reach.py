@@ -80,7 +80,11 @@ def pair_distances(edges: DataFrame, pairs: DataFrame, source_vt: int, target_vt
     pairs  (source_id, target_id)
     returns (source_id, target_id, dist), no row for pairs farther apart than max_len
     """
-    p = pairs.select(*PK).distinct().cache()
+    p = pairs.select(*PK).distinct()
+    same = (F.col("source_id") == F.col("target_id")) if source_vt == target_vt else F.lit(False)
+    # A pair whose ends are one vertex is at distance 0 and needs no search.
+    zero = p.where(same).select(*PK, F.lit(0).alias("dist"))
+    p = p.where(~same).cache()
     n_pairs = p.count()
     start = (p.select(*PK, F.lit(FORWARD).alias("side"), F.lit(source_vt).alias("vt"),
                       F.col("source_id").alias("vid"))
@@ -88,8 +92,7 @@ def pair_distances(edges: DataFrame, pairs: DataFrame, source_vt: int, target_vt
                                    F.col("target_id").alias("vid")))
              .withColumn("depth", F.lit(0)))
     level, rows = pin(start, "bfs-level")
-    met, done = pin(_meets(level, [], max_len), "bfs-meets")
-    levels, results = [level], [met]
+    levels, results, done = [level], [zero], 0
     for k in range(1, math.ceil(max_len / 2) + 1):
         if rows == 0 or done >= n_pairs:
             break
