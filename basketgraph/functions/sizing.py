@@ -50,6 +50,14 @@ def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
 _MEASURED: list[DataFrame] = []
 
 
+def bounded(df: DataFrame, bound: int | None) -> DataFrame:
+    """Broadcast ``df`` when a proven row bound is under the limit; otherwise count it
+    (``measured``) and decide from the count."""
+    if bound is not None and bound <= max_broadcast_rows(df.sparkSession):
+        return F.broadcast(df)
+    return measured(df)
+
+
 def measured(df: DataFrame) -> DataFrame:
     """Cache a small, reused frame (a seed set, a seed's neighbourhood), count it, and
     broadcast it if the count allows. The cache is a short lineage (a filter or join of a

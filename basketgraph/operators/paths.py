@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sizing import broadcast_if_small, pin
+from ..functions.sizing import broadcast_if_small, max_broadcast_rows, pin
 from ..store import OrderStore, check_items_mode
 from .recommend import _finish, seed_frame
 
@@ -133,8 +133,12 @@ def path_counts(store: OrderStore, seeds: DataFrame, depth: int, mode: str = "wa
     m = store.customer_products(items)
     if wide:
         m = m.withColumn("w", F.col("w").cast(WIDE))
-    g, g_rows = pin(m.join(s, m.customer_id == s.seed_id).select("seed_id", "product_id", "w"),
-                    "paths-g0")
+    g = m.join(s, m.customer_id == s.seed_id).select("seed_id", "product_id", "w")
+    bound = None if seed_rows is None else seed_rows * store.degree_bounds()["products_per_customer"]
+    if bound is not None and bound <= max_broadcast_rows(store.spark):
+        g_rows = bound          # proven small: used as is, no job
+    else:
+        g, g_rows = pin(g, "paths-g0")
     fs: list[DataFrame] = []
     for hop in range(1, depth):
         t = _spread_to_customers(g, g_rows, m)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import top_k
-from ..functions.sizing import broadcast_if_small, measured
+from ..functions.sizing import bounded, broadcast_if_small, measured
 from ..store import OrderStore, check_items_mode
 
 ORDER_MODES = ("any", "different")
@@ -38,25 +38,33 @@ def _finish(pairs: DataFrame, k: int, wide: bool = False) -> DataFrame:
                       F.col("rank").cast("int").alias("rank"))
 
 
-def _also_bought_counts(store: OrderStore, seeds: DataFrame, items: str) -> DataFrame:
+def _bound(store: OrderStore, seed_rows: int | None, degree: str) -> int | None:
+    return None if seed_rows is None else seed_rows * store.degree_bounds()[degree]
+
+
+def _also_bought_counts(store: OrderStore, seeds: DataFrame, items: str,
+                        seed_rows: int | None = None) -> DataFrame:
     """(seed_id, product_id, freq): pairs of items of one customer, the first of the seed
     product, the second of another product, in any two orders (the same one included)."""
     m = store.customer_products(items)
-    buyers = measured(
+    buyers = bounded(
         m.join(seeds, m.product_id == seeds.seed_id)
-         .select("seed_id", "customer_id", F.col("w").alias("w1")))
+         .select("seed_id", "customer_id", F.col("w").alias("w1")),
+        _bound(store, seed_rows, "customers_per_product"))
     return (buyers.join(m, "customer_id")
             .where(F.col("product_id") != F.col("seed_id"))
             .groupBy("seed_id", "product_id")
             .agg(F.sum(F.col("w1") * F.col("w")).alias("freq")))
 
 
-def _together_counts(store: OrderStore, seeds: DataFrame, items: str) -> DataFrame:
+def _together_counts(store: OrderStore, seeds: DataFrame, items: str,
+                     seed_rows: int | None = None) -> DataFrame:
     """(seed_id, product_id, freq): pairs of items in the same order."""
     n = store.order_products(items)
-    baskets = measured(
+    baskets = bounded(
         n.join(seeds, n.product_id == seeds.seed_id)
-         .select("seed_id", "order_id", F.col("w").alias("w1")))
+         .select("seed_id", "order_id", F.col("w").alias("w1")),
+        _bound(store, seed_rows, "orders_per_product"))
     return (baskets.join(n, "order_id")
             .where(F.col("product_id") != F.col("seed_id"))
             .groupBy("seed_id", "product_id")
@@ -77,9 +85,9 @@ def customers_also_bought(store: OrderStore, seeds: DataFrame, orders: str = "an
     if orders not in ORDER_MODES:
         raise ValueError(f"orders must be one of {ORDER_MODES}, got {orders!r}")
     s = seed_frame(seeds, seed_rows)
-    counts = _also_bought_counts(store, s, items)
+    counts = _also_bought_counts(store, s, items, seed_rows)
     if orders == "different":
-        same = _together_counts(store, s, items).withColumn("freq", -F.col("freq"))
+        same = _together_counts(store, s, items, seed_rows).withColumn("freq", -F.col("freq"))
         counts = (counts.unionByName(same)
                   .groupBy("seed_id", "product_id").agg(F.sum("freq").alias("freq"))
                   .where(F.col("freq") > 0))
@@ -90,7 +98,7 @@ def bought_together(store: OrderStore, seeds: DataFrame, items: str = "bag",
                     k: int = 10, seed_rows: int | None = None) -> DataFrame:
     """Products found in the same order as the seed product."""
     check_items_mode(items)
-    return _finish(_together_counts(store, seed_frame(seeds, seed_rows), items), k)
+    return _finish(_together_counts(store, seed_frame(seeds, seed_rows), items, seed_rows), k)
 
 
 def own_products(store: OrderStore, seeds: DataFrame, items: str = "bag",

@@ -193,6 +193,25 @@ class OrderStore:
                  F.sum(F.col("w_merged") * F.col("w_merged")).alias("sq_merged"))))
         return sq.select("customer_id", F.col(f"sq_{items}").alias("sq"))
 
+    def degree_bounds(self) -> dict[str, int]:
+        """Largest neighbourhoods in the store, counted once: customers per product,
+        orders per product and products per customer. They bound the size of a seed's
+        neighbourhood before it is computed (a hot key makes the bound large, and then
+        the neighbourhood is counted instead)."""
+        if "degrees" not in self._memo:
+            cp, op = self.customer_product_weights(), self.order_product_weights()
+
+            def widest(df, key, name):
+                return (df.groupBy(key).agg(F.count(F.lit(1)).alias("d"))
+                          .agg(F.max("d").alias("d")).select(F.lit(name).alias("k"), "d"))
+
+            rows = (widest(cp, "product_id", "customers_per_product")
+                    .unionByName(widest(op, "product_id", "orders_per_product"))
+                    .unionByName(widest(cp, "customer_id", "products_per_customer"))
+                    .collect())
+            self._memo["degrees"] = {r.k: int(r.d or 0) for r in rows}
+        return self._memo["degrees"]
+
     def hot_products(self, hot_rows: int) -> tuple[DataFrame, int]:
         """Products bought by more than ``hot_rows`` customers, kept with their count."""
         key = f"hot-products-{hot_rows}"

@@ -59,6 +59,7 @@ def main() -> None:
         st.customer_products(items).count()
         st.order_products(items).count()
         st.self_weight(items).count()
+    st.degree_bounds()
     times["load"] = round(time.time() - t0, 3)
 
     def run(name: str) -> None:
