@@ -125,17 +125,19 @@ def city_category_recs(store: OrderStore, seeds: DataFrame, items: str = "bag",
     s = seed_frame(seeds, seed_rows)
     m = store.customer_products(items)
     cust = store.customers.select("customer_id", "city").where(F.col("city").isNotNull())
-    seed_city = measured(
-        s.join(cust, s.seed_id == cust.customer_id).select("seed_id", "city"))
+    seed_city = bounded(
+        s.join(cust, s.seed_id == cust.customer_id).select("seed_id", "city"), seed_rows)
     # Customers of the seeds' cities only, then (city, product) totals.
-    city_customers = measured(
-        cust.join(seed_city.select("city").distinct(), "city", "left_semi"))
+    city_customers = bounded(
+        cust.join(seed_city.select("city").distinct(), "city", "left_semi"),
+        _bound(store, seed_rows, "customers_per_city"))
     totals = (m.join(city_customers, "customer_id")
                .groupBy("city", "product_id").agg(F.sum("w").alias("total")))
     own = (m.join(s, m.customer_id == s.seed_id)
             .select("seed_id", "product_id", F.col("w").alias("own")))
     cats = store.products.select("product_id", "category").where(F.col("category").isNotNull())
-    seed_cats = measured(own.join(cats, "product_id").select("seed_id", "category").distinct())
+    seed_cats = bounded(own.join(cats, "product_id").select("seed_id", "category").distinct(),
+                        _bound(store, seed_rows, "products_per_customer"))
     recs = (seed_city.join(totals, "city")
             .join(cats, "product_id")
             .join(seed_cats, ["seed_id", "category"], "left_semi")

@@ -195,7 +195,7 @@ class OrderStore:
 
     def degree_bounds(self) -> dict[str, int]:
         """Largest neighbourhoods in the store, counted once: customers per product,
-        orders per product and products per customer. They bound the size of a seed's
+        orders per product, products per customer and customers per city. They bound the size of a seed's
         neighbourhood before it is computed (a hot key makes the bound large, and then
         the neighbourhood is counted instead)."""
         if "degrees" not in self._memo:
@@ -208,6 +208,8 @@ class OrderStore:
             rows = (widest(cp, "product_id", "customers_per_product")
                     .unionByName(widest(op, "product_id", "orders_per_product"))
                     .unionByName(widest(cp, "customer_id", "products_per_customer"))
+                    .unionByName(widest(self.customers.where(F.col("city").isNotNull()),
+                                        "city", "customers_per_city"))
                     .collect())
             self._memo["degrees"] = {r.k: int(r.d or 0) for r in rows}
         return self._memo["degrees"]
