@@ -122,15 +122,18 @@ def customer_hops(store: OrderStore, pairs: DataFrame, max_hops: int = 4) -> Dat
     Customers are adjacent when they bought a common product; the search walks the
     customer-product graph, so hops = graph distance / 2.
     """
-    cp = store.customer_product_pairs()
-    edges = store.derived("customer-product-edges", lambda: undirected(
-        _typed(cp, CUSTOMER, "customer_id", PRODUCT, "product_id")))
     p = pairs.select(*PK).distinct()
-    dist = pair_distances(edges, p, CUSTOMER, CUSTOMER, 2 * max_hops)
+    dist = pair_distances(customer_product_edges(store), p, CUSTOMER, CUSTOMER, 2 * max_hops)
     dist = dist.select(*PK, (F.col("dist") / 2).cast("int").alias("hops"))
     return p.join(dist, PK, "left")
 
 
+def customer_product_edges(store: OrderStore) -> DataFrame:
+    """The customer-product graph of C8, both directions, kept with the store."""
+    return store.derived("customer-product-edges", lambda: undirected(
+        _typed(store.customer_product_pairs(), CUSTOMER, "customer_id", PRODUCT, "product_id")))
+
+
 def graph_edges(store: OrderStore) -> DataFrame:
     """The typed graph: customer-order, order-product, product-seller, both directions.
     Built once per store and kept, since every search level scans it."""

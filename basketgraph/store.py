@@ -90,9 +90,10 @@ class OrderStore:
             self._keep(key, build())
         return self._memo[key]
 
-    def materialize(self, path: str | None = None) -> "OrderStore":
-        """Write the derived tables (resolved orders, weights, self-weights) as Parquet and
-        return a store that reads them: the counterpart of loading a database once.
+    def materialize(self, path: str | None = None, graph: bool = False) -> "OrderStore":
+        """Write the derived tables (resolved orders, weights, self-weights, and with
+        ``graph=True`` the edge tables of the distance queries) as Parquet and return a
+        store that reads them: the counterpart of loading a database once.
 
         The written store survives lost executors and new sessions without recomputing
         anything; ``path`` defaults to a fresh folder under spark.checkpoint.dir.
@@ -106,6 +107,10 @@ class OrderStore:
                                                       .withColumnRenamed("sq", "sq_merged"),
                                                       "customer_id")
                         .withColumnRenamed("sq", "sq_bag")}
+        if graph:
+            from .operators.reach import customer_product_edges, graph_edges
+            tables["graph-edges"] = graph_edges(self)
+            tables["customer-product-edges"] = customer_product_edges(self)
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{path}/{name}")
         out = OrderStore(self.customers, self.products, self.sellers, self.orders,
