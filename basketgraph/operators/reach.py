@@ -98,9 +98,9 @@ def pair_distances(edges: DataFrame, pairs: DataFrame, source_vt: int, target_vt
             break
         frontier = level.select(*KEY)
         if done:
-            # At most n_pairs rows: broadcast without a further check.
-            finished = _union([r.select(*PK) for r in results])
-            frontier = frontier.join(F.broadcast(finished), PK, "left_anti")
+            # One row per finished pair (``done``, counted), checked before broadcasting.
+            finished = _union([r.select(*PK) for r in results[1:]])
+            frontier = frontier.join(broadcast_if_small(finished, done), PK, "left_anti")
         step = (edges.join(broadcast_if_small(frontier, rows),
                            (F.col("src_t") == F.col("vt")) & (F.col("src") == F.col("vid")))
                      .select(*PK, "side", F.col("dst_t").alias("vt"), F.col("dst").alias("vid"))
