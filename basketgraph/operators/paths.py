@@ -18,9 +18,11 @@ sq(c) = A(c, c) the revisiting walks are removed in closed form:
     f3 = t3 - f2 * sq - f1 * (N2 - f1^2)       (then c -> b -> c), N2(c) = sum_{b != c} A(c, b)^2
 
 where t_k is the walk recurrence applied to f_{k-1}. N2 is needed only for customers
-one hop from a seed. Each hop is a join of a small per-seed vector with m and an
-aggregation; the vector is written to the shared checkpoint folder, counted, and
-broadcast only when the count allows, so m is scanned in place and never shuffled.
+one hop from a seed. Each hop is a join of a per-seed vector with m and an
+aggregation. The vector is written to the shared checkpoint folder, with its row count
+observed during the write, and broadcast only when that count allows, so m is scanned
+in place and never shuffled. The first vector (the seeds' own products) needs no write
+when seeds x the widest customer's product count is already under the limit.
 """
 
 from __future__ import annotations
