@@ -178,15 +178,23 @@ def neighbour_recs(store: OrderStore, seeds: DataFrame, depth: int = 2, mode: st
 
 def neighbour_recs_batched(store: OrderStore, seeds: DataFrame, depth: int = 2,
                            mode: str = "walk", items: str = "bag", k: int = 10,
-                           seeds_per_job: int = 10_000, path: str | None = None,
+                           seeds_per_job: int | None = None, path: str | None = None,
                            hot_rows: int | None = None, wide: bool = False) -> DataFrame:
     """C6/C7 for very many seeds: the per-level state is seeds x reached customers, so the
     seeds are spread over jobs of about ``seeds_per_job`` each (by a hash of the id, so no
     job sorts or collects the seed list). Every job appends its rows to one table under
     spark.checkpoint.dir (or ``path``); the result reads that table. Every seed is answered.
+
+    By default a job takes as many seeds as keep its first-hop vector under the broadcast
+    limit: one seed reaches at most (products per customer) x (customers per product)
+    customers, by the store's degree counts.
     """
     from ..session import scratch_path
 
+    if seeds_per_job is None:
+        deg = store.degree_bounds()
+        reach = max(1, deg["products_per_customer"]) * max(1, deg["customers_per_product"])
+        seeds_per_job = max(1, max_broadcast_rows(store.spark) // reach)
     distinct = seeds.select("seed_id").distinct()
     n = distinct.count()
     jobs = max(1, -(-n // seeds_per_job))
