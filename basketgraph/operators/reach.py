@@ -27,7 +27,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sizing import broadcast_if_small, pin
+from ..functions.sizing import broadcast_if_small, pin, pin_metrics
 from ..store import OrderStore
 
 # Vertex kinds of the typed graph.
@@ -72,14 +72,80 @@ def _meets(new: DataFrame, levels: list[DataFrame], max_len: int) -> DataFrame:
                 .where(F.col("dist") <= max_len))
 
 
+ROOT_KEY = ["source_id", "vt", "vid"]
+ONE_SIDED_FANOUT = 4
+
+
+def one_sided_distances(edges: DataFrame, pairs: DataFrame, source_vt: int, target_vt: int,
+                        max_len: int) -> DataFrame:
+    """Shortest distance of every pair by one forward search per source: cheaper than the
+    bidirectional search when each source has many targets.
+
+    Each level is written with its row count and the number of targets it reaches,
+    observed during the write; sources whose targets are all found stop expanding.
+    """
+    p = pairs.select(*PK).distinct()
+    tg = p.select("source_id", F.lit(target_vt).alias("vt"), F.col("target_id").alias("vid"),
+                  F.lit(1).alias("_t")).cache()
+    n_targets = tg.count()
+    tg_side = broadcast_if_small(tg, n_targets)
+    hits = F.sum(F.coalesce(F.col("_t"), F.lit(0)))
+
+    def flagged(df: DataFrame, depth: int) -> DataFrame:
+        return df.join(tg_side, ROOT_KEY, "left").withColumn("depth", F.lit(depth))
+
+    start = p.select("source_id", F.lit(source_vt).alias("vt"),
+                     F.col("source_id").alias("vid")).distinct()
+    level, seen = pin_metrics(flagged(start, 0), "bfs-level", hits=hits)
+    levels = [level]
+    rows, found = seen["rows"], seen["hits"] or 0
+    for d in range(1, max_len + 1):
+        if rows == 0 or found >= n_targets:
+            break
+        frontier = level.select(*ROOT_KEY)
+        if found:
+            # Sources with a target still open: at most n_targets rows, checked.
+            reached = _union([lv.where(F.col("_t") == 1).select(*ROOT_KEY) for lv in levels])
+            open_roots = (tg.select(*ROOT_KEY).join(broadcast_if_small(reached, found),
+                                                    ROOT_KEY, "left_anti")
+                          .select("source_id").distinct())
+            frontier = frontier.join(broadcast_if_small(open_roots, n_targets), "source_id",
+                                     "left_semi")
+        step = (edges.join(broadcast_if_small(frontier, rows),
+                           (F.col("src_t") == F.col("vt")) & (F.col("src") == F.col("vid")))
+                     .select("source_id", F.col("dst_t").alias("vt"), F.col("dst").alias("vid"))
+                     .distinct()
+                     .join(_union([lv.select(*ROOT_KEY) for lv in levels[-2:]]), ROOT_KEY,
+                           "left_anti"))
+        level, seen = pin_metrics(flagged(step, d), "bfs-level", hits=hits)
+        levels.append(level)
+        rows, found = seen["rows"], found + (seen["hits"] or 0)
+    reached = _union([lv.where(F.col("_t") == 1).select("source_id", F.col("vid").alias("target_id"),
+                                                        F.col("depth").alias("dist"))
+                      for lv in levels])
+    return reached
+
+
 def pair_distances(edges: DataFrame, pairs: DataFrame, source_vt: int, target_vt: int,
-                   max_len: int) -> DataFrame:
+                   max_len: int, strategy: str = "auto") -> DataFrame:
     """Shortest distance of every pair within ``max_len`` edges.
 
+    ``strategy``: "bidirectional", "one_sided", or "auto" (one-sided when the sources
+    have on average at least ONE_SIDED_FANOUT targets each).
+
     edges  (src_t, src, dst_t, dst), already in both directions
     pairs  (source_id, target_id)
     returns (source_id, target_id, dist), no row for pairs farther apart than max_len
     """
+    if strategy not in ("auto", "bidirectional", "one_sided"):
+        raise ValueError(f"unknown strategy {strategy!r}")
+    if strategy == "auto":
+        counts = pairs.select(*PK).distinct().agg(
+            F.count(F.lit(1)).alias("n"), F.count_distinct("source_id").alias("s")).first()
+        one_sided = counts["n"] >= ONE_SIDED_FANOUT * max(1, counts["s"])
+        strategy = "one_sided" if one_sided else "bidirectional"
+    if strategy == "one_sided":
+        return one_sided_distances(edges, pairs, source_vt, target_vt, max_len)
     p = pairs.select(*PK).distinct()
     same = (F.col("source_id") == F.col("target_id")) if source_vt == target_vt else F.lit(False)
     # A pair whose ends are one vertex is at distance 0 and needs no search.
@@ -114,7 +180,8 @@ def pair_distances(edges: DataFrame, pairs: DataFrame, source_vt: int, target_vt
     return _union(results)
 
 
-def customer_hops(store: OrderStore, pairs: DataFrame, max_hops: int = 4) -> DataFrame:
+def customer_hops(store: OrderStore, pairs: DataFrame, max_hops: int = 4,
+                  strategy: str = "auto") -> DataFrame:
     """Least number of shared-product hops between two customers, up to ``max_hops``.
 
     One row per input pair (source_id, target_id, hops): 0 when both ids are equal (even
@@ -123,7 +190,8 @@ def customer_hops(store: OrderStore, pairs: DataFrame, max_hops: int = 4) -> Dat
     customer-product graph, so hops = graph distance / 2.
     """
     p = pairs.select(*PK).distinct()
-    dist = pair_distances(customer_product_edges(store), p, CUSTOMER, CUSTOMER, 2 * max_hops)
+    dist = pair_distances(customer_product_edges(store), p, CUSTOMER, CUSTOMER, 2 * max_hops,
+                          strategy)
     dist = dist.select(*PK, (F.col("dist") / 2).cast("int").alias("hops"))
     return p.join(dist, PK, "left")
 
@@ -148,7 +216,8 @@ def graph_edges(store: OrderStore) -> DataFrame:
     return store.derived("graph-edges", build)
 
 
-def shortest_path_length(store: OrderStore, pairs: DataFrame, max_edges: int = 10) -> DataFrame:
+def shortest_path_length(store: OrderStore, pairs: DataFrame, max_edges: int = 10,
+                         strategy: str = "auto") -> DataFrame:
     """Least number of edges between two customers over all edge kinds, undirected,
     1 to ``max_edges``. Pairs with no such path get no row; equal endpoints are an error."""
     p = pairs.select("source_id", "target_id").distinct()
@@ -157,5 +226,5 @@ def shortest_path_length(store: OrderStore, pairs: DataFrame, max_edges: int = 1
     known = store.customers.select(F.col("customer_id").alias("source_id"))
     p = p.join(known, "source_id", "left_semi").join(
         known.withColumnRenamed("source_id", "target_id"), "target_id", "left_semi")
-    dist = pair_distances(graph_edges(store), p, CUSTOMER, CUSTOMER, max_edges)
+    dist = pair_distances(graph_edges(store), p, CUSTOMER, CUSTOMER, max_edges, strategy)
     return dist.select(*PK, F.col("dist").cast("int").alias("length"))
