@@ -119,12 +119,15 @@ def q_neighbour_recs_active_d2(spark, sf_dir):
     return P.neighbour_recs_batched(st, active, 2, "walk", "bag", K, seeds_per_job=500)
 
 
+# Consecutive drawn pairs: one target per source, so the bidirectional search is the one.
 def q_customer_hops(spark, sf_dir):
-    return X.customer_hops(store_for(spark, sf_dir), customer_pairs(spark, sf_dir), 4)
+    return X.customer_hops(store_for(spark, sf_dir), customer_pairs(spark, sf_dir), 4,
+                           "bidirectional")
 
 
 def q_shortest_path_length(spark, sf_dir):
-    return X.shortest_path_length(store_for(spark, sf_dir), customer_pairs(spark, sf_dir), 10)
+    return X.shortest_path_length(store_for(spark, sf_dir), customer_pairs(spark, sf_dir), 10,
+                                  "bidirectional")
 
 
 def q_graph_vertices(spark, sf_dir):
