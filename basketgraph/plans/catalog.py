@@ -130,6 +130,25 @@ def q_shortest_path_length(spark, sf_dir):
                                   "bidirectional")
 
 
+def same_city_pairs(spark, sf_dir) -> DataFrame:
+    """The drawn seed customer and every other customer of its city."""
+    st = store_for(spark, sf_dir)
+    cust = st.customers.select("customer_id", "city")
+    seed = one_customer(spark, sf_dir).join(cust, F.col("seed_id") == F.col("customer_id"))
+    return (seed.select("seed_id", "city")
+            .join(cust, "city")
+            .where(F.col("customer_id") != F.col("seed_id"))
+            .select(F.col("seed_id").alias("source_id"), F.col("customer_id").alias("target_id")))
+
+
+def q_customer_hops_same_city(spark, sf_dir):
+    return X.customer_hops(store_for(spark, sf_dir), same_city_pairs(spark, sf_dir), 4)
+
+
+def q_shortest_path_same_city(spark, sf_dir):
+    return X.shortest_path_length(store_for(spark, sf_dir), same_city_pairs(spark, sf_dir), 10)
+
+
 def q_graph_vertices(spark, sf_dir):
     return G.vertex_table(store_for(spark, sf_dir))
 
@@ -299,6 +318,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # C8-C9
     "customer_hops": q_customer_hops,
     "shortest_path_length": q_shortest_path_length,
+    "customer_hops_same_city": q_customer_hops_same_city,
+    "shortest_path_same_city": q_shortest_path_same_city,
     # A
     "graph_vertices": q_graph_vertices,
     "edges_placed": q_edges_placed,

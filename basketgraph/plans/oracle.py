@@ -213,8 +213,16 @@ pairs AS (
     WHERE target_id IS NOT NULL)"""
 
 
-def _hops_sql(levels: int = 4) -> str:
-    ctes = [PAIRS, """cp AS MATERIALIZED (
+SAME_CITY_PAIRS = ONE_CUSTOMER + """,
+pairs AS (
+    SELECT s.seed_id AS source_id, c2.c_custkey AS target_id
+    FROM seed s
+    JOIN customer c1 ON c1.c_custkey = s.seed_id
+    JOIN customer c2 ON c2.c_nationkey = c1.c_nationkey AND c2.c_custkey <> c1.c_custkey)"""
+
+
+def _hops_sql(levels: int = 4, pairs: str = PAIRS) -> str:
+    ctes = [pairs, """cp AS MATERIALIZED (
     SELECT DISTINCT o.o_custkey AS c, i.l_partkey AS p
     FROM orders o JOIN lineitem i ON o.o_orderkey = i.l_orderkey)""",
             "n0 AS MATERIALIZED (SELECT DISTINCT source_id AS src, source_id AS c FROM pairs)",
@@ -241,8 +249,8 @@ items AS (
       AND EXISTS (SELECT 1 FROM supplier s WHERE s.s_suppkey = i.l_suppkey))"""
 
 
-def _path_length_sql(levels: int = 10) -> str:
-    ctes = [PAIRS.replace("WHERE target_id IS NOT NULL)", """WHERE target_id IS NOT NULL
+def _path_length_sql(levels: int = 10, pairs: str | None = None) -> str:
+    ctes = [pairs or PAIRS.replace("WHERE target_id IS NOT NULL)", """WHERE target_id IS NOT NULL
       AND source_id IN (SELECT c_custkey FROM customer)
       AND target_id IN (SELECT c_custkey FROM customer))"""),
             RESOLVED_ITEMS,
@@ -308,6 +316,8 @@ ORACLE_SQL: dict[str, str] = {
     "neighbour_recs_active_d2": _rec(ACTIVE_CUSTOMERS, WALK_D2),
     "customer_hops": _hops_sql(4),
     "shortest_path_length": _path_length_sql(10),
+    "customer_hops_same_city": _hops_sql(4, SAME_CITY_PAIRS),
+    "shortest_path_same_city": _path_length_sql(10, SAME_CITY_PAIRS),
     "graph_vertices": """
 SELECT 'customer' AS label, c_custkey AS vertex_id, CAST(c_nationkey AS VARCHAR) AS property FROM customer
 UNION ALL SELECT 'seller', s_suppkey, CAST(s_nationkey AS VARCHAR) FROM supplier
