@@ -7,7 +7,6 @@ Only when that setting is missing (local tests, the bench) is a folder chosen he
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -43,7 +42,6 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
@@ -58,17 +56,19 @@ def checkpoint_root(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared folder; set one only when the session has none (tests, bench)."""
+    """The shared folder. A local session without one (tests, the bench) gets a temporary
+    folder; on a cluster a missing setting is an error, raised only by operators that
+    write intermediate tables."""
     root = checkpoint_root(spark)
     if root is None:
-        root = tempfile.mkdtemp(prefix="basketgraph-ckpt-")
-        spark.conf.set(CHECKPOINT_KEY, root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="basketgraph-ckpt-"))
+        root = spark.sparkContext.getCheckpointDir()
     return root
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh, never-reused location under the shared folder."""
     root = ensure_checkpoint_dir(spark)
-    return os.path.join(root.rstrip("/"), "basketgraph", f"{label}-{uuid.uuid4().hex}")
+    return f"{root.rstrip('/')}/basketgraph/{label}-{uuid.uuid4().hex}"
