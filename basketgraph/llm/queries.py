@@ -1,10 +1,12 @@
 """Registered queries of the training-data operators and their SQL."""
 
 from .host_reputation import OP1_SQL, op1_host_reputation
+from .packing import op3_packing
 from .source_mix import OP9_SQL, op9_source_mix
 
 LLM_QUERIES = {
     "op1_host_reputation": op1_host_reputation,
+    "op3_packing": op3_packing,
     "op9_source_mix": op9_source_mix,
 }
 LLM_ORACLE_SQL = {
