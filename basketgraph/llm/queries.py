@@ -3,11 +3,15 @@
 from .host_reputation import OP1_SQL, op1_host_reputation
 from .packing import op3_packing
 from .source_mix import OP9_SQL, op9_source_mix
+from .token_counts import op10_token_counts
+from .toxicity import op6_toxicity
 
 LLM_QUERIES = {
     "op1_host_reputation": op1_host_reputation,
     "op3_packing": op3_packing,
+    "op6_toxicity": op6_toxicity,
     "op9_source_mix": op9_source_mix,
+    "op10_token_counts": op10_token_counts,
 }
 LLM_ORACLE_SQL = {
     "op1_host_reputation": OP1_SQL,
