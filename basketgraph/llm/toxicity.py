@@ -109,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, most_rows: int =
     sample = (docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id"))
               .select(F.xxhash64("doc_id").alias("key"), F.col("label").cast("double"), F.col("text").cast("string").alias("text")))
     rows = sample.mapInArrow(features, "key long, label double, at array<int>")
-    learned = rows.repartitionByRange(1, "key").sortWithinPartitions("key", "label").mapInArrow(learn, "at int, w double")
+    learned = rows.repartition(1).sortWithinPartitions("key", "label").mapInArrow(learn, "at int, w double")
     got = learned.toPandas()  # at most 2**bits + 1 rows
     weights = np.zeros((1 << bits) + 1)
     weights[got["at"].to_numpy()] = got["w"].to_numpy()
