@@ -1,6 +1,8 @@
 """Registered queries of the training-data operators and their SQL."""
 
 from .host_reputation import OP1_SQL, op1_host_reputation
+from .license_scan import op7_license_scan
+from .line_dedup import op5_line_dedup
 from .packing import op3_packing
 from .source_mix import OP9_SQL, op9_source_mix
 from .token_counts import op10_token_counts
@@ -9,7 +11,9 @@ from .toxicity import op6_toxicity
 LLM_QUERIES = {
     "op1_host_reputation": op1_host_reputation,
     "op3_packing": op3_packing,
+    "op5_line_dedup": op5_line_dedup,
     "op6_toxicity": op6_toxicity,
+    "op7_license_scan": op7_license_scan,
     "op9_source_mix": op9_source_mix,
     "op10_token_counts": op10_token_counts,
 }
