@@ -1,6 +1,7 @@
 """Registered queries of the training-data operators and their SQL."""
 
 from .host_reputation import OP1_SQL, op1_host_reputation
+from .jaccard_join import op2_jaccard_join
 from .license_scan import op7_license_scan
 from .line_dedup import op5_line_dedup
 from .packing import op3_packing
@@ -10,6 +11,7 @@ from .toxicity import op6_toxicity
 
 LLM_QUERIES = {
     "op1_host_reputation": op1_host_reputation,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_packing": op3_packing,
     "op5_line_dedup": op5_line_dedup,
     "op6_toxicity": op6_toxicity,
