@@ -41,6 +41,7 @@ from .text import mix, set_fingerprint, shingles, slices, text_buffer, word_hash
 BAND_RATIO = 1.4
 HOT_ROWS = 100_000
 BLOCK = 512
+SKETCH = 1024  # bits
 
 
 def differences(s, l, p: int, q: int):
@@ -183,17 +184,23 @@ def indexed(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(cid, size, hashes) of each document."""
+    """(cid, size, bits, hashes) of each document; bits: SKETCH parities of the hashes, so
+    two sets differ in at least as many hashes as their sketches in bits."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 hashes, pointer = _sets(part, n)
+                size = np.diff(pointer)
+                at = np.repeat(np.arange(len(size)), size) * SKETCH + (mix(hashes) % np.uint64(SKETCH)).astype(np.int64)
+                parity = (np.bincount(at, minlength=len(size) * SKETCH) & 1).astype(np.uint8)
+                words = np.packbits(parity, bitorder="little").view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(set_fingerprint(hashes, pointer).view(np.int64)), pa.array(np.diff(pointer), pa.int64()),
+                    [pa.array(set_fingerprint(hashes, pointer).view(np.int64)), pa.array(size, pa.int64()),
+                     pa.ListArray.from_arrays(np.arange(len(size) + 1, dtype=np.int32) * (SKETCH // 64), words),
                      pa.ListArray.from_arrays(pointer.astype(np.int32), hashes.view(np.int64))],
-                    names=["cid", "size", "hashes"])
+                    names=["cid", "size", "bits", "hashes"])
 
-    return docs.mapInArrow(run, "cid long, size long, hashes array<long>")
+    return docs.mapInArrow(run, "cid long, size long, bits array<long>, hashes array<long>")
 
 
 def buckets(rows: DataFrame, n_sets: int, hot_rows: int) -> DataFrame:
@@ -219,14 +226,22 @@ def buckets(rows: DataFrame, n_sets: int, hot_rows: int) -> DataFrame:
     return cold.union(salted.select("sig", "cid", "center")).union(tops.select("sig", "cid", "center")).distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets have similarity at least p/q."""
-    a = sets.select(F.col("cid").alias("a"), F.col("size").alias("sa"), F.col("hashes").alias("ha"))
-    b = sets.select(F.col("cid").alias("b"), F.col("size").alias("sb"), F.col("hashes").alias("hb"))
-    both = F.size(F.array_intersect("ha", "hb"))
-    return (pairs.join(a, "a").join(b, "b")
-            .where(f"least(sa, sb) * {q} >= greatest(sa, sb) * {p}")
-            .where(both * (p + q) >= (F.col("sa") + F.col("sb")) * p).select("a", "b"))
+def verified(pairs: DataFrame, sets: DataFrame, n_sets: int, p: int, q: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets have similarity at least p/q. Sizes and sketches
+    rule most others out before the sets themselves are joined."""
+    def side(x: str, *columns: str) -> DataFrame:
+        return sets.select(F.col("cid").alias(x), *[F.col(c).alias(c + x) for c in columns])
+
+    row = 32 + SKETCH // 8
+    differ = F.expr("aggregate(zip_with(bitsa, bitsb, (x, y) -> bit_count(x ^ y)), 0, (t, x) -> t + x)")
+    most = F.expr(f"sizea + sizeb - 2 * (({p} * (sizea + sizeb) + {p + q - 1}) div {p + q})")
+    likely = (pairs.join(small(side("a", "size", "bits"), n_sets, row), "a")
+              .join(small(side("b", "size", "bits"), n_sets, row), "b")
+              .where(f"least(sizea, sizeb) * {q} >= greatest(sizea, sizeb) * {p}").where(differ <= most)
+              .select("a", "b", F.expr("sizea + sizeb").alias("sizes")))
+    both = F.size(F.array_intersect("hashesa", "hashesb"))
+    return (likely.join(side("a", "hashes"), "a").join(side("b", "hashes"), "b")
+            .where(both * (p + q) >= F.col("sizes") * p).select("a", "b"))
 
 
 def cross_pairs(rows: DataFrame) -> DataFrame:
@@ -264,11 +279,11 @@ def near_groups(docs: DataFrame, n: int, p: int, q: int, hot_rows: int = HOT_ROW
            .join(members, "cid", "left_semi"))
     one, n_one = kept(one, "candidates")
     texts = docs.join(small(one.select("doc_id").distinct(), n_one["rows"], 16), "doc_id", "left_semi")
-    sets, _ = kept(shingle_sets(texts, n).join(small(one.select("cid"), n_one["rows"], 16), "cid", "left_semi")
+    sets, n_sets = kept(shingle_sets(texts, n).join(small(one.select("cid"), n_one["rows"], 16), "cid", "left_semi")
                    .dropDuplicates(["cid"]), "sets")
 
     star = shared.where("cid <> center").select(F.col("center").alias("a"), F.col("cid").alias("b")).distinct()
-    links, n_links = kept(verified(star, sets, p, q), "links")
+    links, n_links = kept(verified(star, sets, n_sets["rows"], p, q), "links")
     roots, n_roots = kept(components(links), "roots")
     named = (shared.select("sig", "cid").join(small(roots, n_roots["rows"], 24), F.col("cid") == F.col("node"), "left")
              .select("sig", "cid", F.coalesce("root", "cid").alias("root")).distinct())
@@ -277,7 +292,8 @@ def near_groups(docs: DataFrame, n: int, p: int, q: int, hot_rows: int = HOT_ROW
     rest, n_rest = kept(named.join(open_sigs, "sig"), "unsettled")
     if n_rest["rows"]:
         tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more, n_more = kept(verified(cross_pairs(rest).join(tried, ["a", "b"], "left_anti"), sets, p, q), "more-links")
+        more, n_more = kept(verified(cross_pairs(rest).join(tried, ["a", "b"], "left_anti"),
+                                       sets, n_sets["rows"], p, q), "more-links")
         if n_more["rows"]:
             roots, n_roots = kept(components(links.union(more)), "roots")
 
