@@ -38,8 +38,8 @@ def learn_itq(sample: np.ndarray, bits: int, rounds: int = 30, seed: int = 0) ->
     bits. Each rotation gives as many bits as there are dimensions."""
     mean = sample.mean(axis=0)
     centred = sample - mean
-    _, _, axes = np.linalg.svd(centred, full_matrices=True)
-    reduced = centred @ axes.T
+    _, axes = np.linalg.eigh(centred.T @ centred)  # principal axes, as columns
+    reduced = centred @ axes
     rng = np.random.default_rng(seed)
     parts = []
     while sum(p.shape[1] for p in parts) < bits:
@@ -48,7 +48,7 @@ def learn_itq(sample: np.ndarray, bits: int, rounds: int = 30, seed: int = 0) ->
             codes = np.where(reduced @ rotation >= 0, 1.0, -1.0)
             u, _, vt = np.linalg.svd(codes.T @ reduced)
             rotation = (u @ vt).T
-        parts.append(axes.T @ rotation)
+        parts.append(axes @ rotation)
     return mean, np.concatenate(parts, axis=1)[:, :bits]
 
 
