@@ -34,8 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .line_dedup import document_key
 from .source_mix import n_words
-from .tables import components, kept, small
+from .tables import components, kept, small, tucked
 from .text import mix, set_fingerprint, shingles, slices, text_buffer, word_hashes
 
 BAND_RATIO = 1.4
@@ -45,8 +46,9 @@ SKETCH = 1024  # bits
 
 
 def differences(s, l, p: int, q: int):
-    """Most differing elements of sets of sizes s and l with similarity at least p/q."""
-    return s + l - 2 * -(-p * (s + l) // (p + q))
+    """Sets of sizes s and l with similarity at least p/q differ in no more elements; grows
+    with both sizes."""
+    return (q - p) * (s + l) // (p + q)
 
 
 class Bands:
@@ -75,7 +77,7 @@ class Bands:
         for slack in range(0, 7):
             for k in range(0, min(units, 3) + 1):
                 m = units + slack - k
-                if m < 1:
+                if m < max(1, k):  # the two-unit segments are among the m
                     continue
                 fill = low / m
                 empty = math.exp(-fill)
@@ -153,7 +155,7 @@ def _sets(part: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def indexed(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
-    """(doc_id, n_shingles, cid, sigs): each document's set size, fingerprint (null: no set)
+    """(doc_id, key, n_shingles, cid, sigs): each document's set size, fingerprint (null: no set)
     and signatures. Of equal sets of a partition only the first carries signatures."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -176,27 +178,31 @@ def indexed(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
                 order = np.argsort(numbers, kind="stable")
                 ends = np.searchsorted(numbers[order], np.arange(len(size) + 1))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(size, pa.int64()), pa.array(cid, pa.int64(), mask=~known),
+                    [part.column(0), part.column(2), pa.array(size, pa.int64()), pa.array(cid, pa.int64(), mask=~known),
                      pa.ListArray.from_arrays(ends.astype(np.int32), sig[order].view(np.int64))],
-                    names=["doc_id", "n_shingles", "cid", "sigs"])
+                    names=["doc_id", "key", "n_shingles", "cid", "sigs"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, cid long, sigs array<long>")
+    return docs.select("doc_id", "text", "key").mapInArrow(run, "doc_id long, key long, n_shingles long, cid long, sigs array<long>")
 
 
 def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(cid, size, bits, hashes) of each document; bits: SKETCH parities of the hashes, so
-    two sets differ in at least as many hashes as their sketches in bits."""
+    """(cid, size, bits, hashes) of each document. bits: parities of the hashes by their value
+    modulo a power of two (SKETCH, or the set's size if that is more), so two sets differ in
+    at least as many hashes as their sketches in bits, a longer one folded to the shorter."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 hashes, pointer = _sets(part, n)
                 size = np.diff(pointer)
-                at = np.repeat(np.arange(len(size)), size) * SKETCH + (mix(hashes) % np.uint64(SKETCH)).astype(np.int64)
-                parity = (np.bincount(at, minlength=len(size) * SKETCH) & 1).astype(np.uint8)
+                width = np.maximum(SKETCH, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+                first = np.concatenate([[0], np.cumsum(width)])
+                owner = np.repeat(np.arange(len(size)), size)
+                at = first[owner] + (mix(hashes).view(np.int64) & (width[owner] - 1))
+                parity = (np.bincount(at, minlength=first[-1]) & 1).astype(np.uint8)
                 words = np.packbits(parity, bitorder="little").view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(set_fingerprint(hashes, pointer).view(np.int64)), pa.array(size, pa.int64()),
-                     pa.ListArray.from_arrays(np.arange(len(size) + 1, dtype=np.int32) * (SKETCH // 64), words),
+                     pa.ListArray.from_arrays((first // 64).astype(np.int32), words),
                      pa.ListArray.from_arrays(pointer.astype(np.int32), hashes.view(np.int64))],
                     names=["cid", "size", "bits", "hashes"])
 
@@ -226,17 +232,19 @@ def buckets(rows: DataFrame, n_sets: int, hot_rows: int) -> DataFrame:
     return cold.union(salted.select("sig", "cid", "center")).union(tops.select("sig", "cid", "center")).distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, n_sets: int, p: int, q: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, seen: dict, p: int, q: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets have similarity at least p/q. Sizes and sketches
     rule most others out before the sets themselves are joined."""
     def side(x: str, *columns: str) -> DataFrame:
         return sets.select(F.col("cid").alias(x), *[F.col(c).alias(c + x) for c in columns])
 
-    row = 32 + SKETCH // 8
-    differ = F.expr("aggregate(zip_with(bitsa, bitsb, (x, y) -> bit_count(x ^ y)), 0, (t, x) -> t + x)")
+    fold = "zip_with(slice({0}, 1, size({0}) div 2), slice({0}, size({0}) div 2 + 1, size({0}) div 2), (x, y) -> x ^ y)"
+    fit = "if(size({0}) > size({1}), " + fold + ", {0})"
+    differ = F.expr(f"aggregate(zip_with({fit.format('bitsa', 'bitsb')}, {fit.format('bitsb', 'bitsa')}, "
+                    "(x, y) -> bit_count(x ^ y)), 0, (t, x) -> t + x)")
     most = F.expr(f"sizea + sizeb - 2 * (({p} * (sizea + sizeb) + {p + q - 1}) div {p + q})")
-    likely = (pairs.join(small(side("a", "size", "bits"), n_sets, row), "a")
-              .join(small(side("b", "size", "bits"), n_sets, row), "b")
+    likely = (pairs.join(small(side("a", "size", "bits"), seen["sketch_bytes"] or 0, 1), "a")
+              .join(small(side("b", "size", "bits"), seen["sketch_bytes"] or 0, 1), "b")
               .where(f"least(sizea, sizeb) * {q} >= greatest(sizea, sizeb) * {p}").where(differ <= most)
               .select("a", "b", F.expr("sizea + sizeb").alias("sizes")))
     both = F.size(F.array_intersect("hashesa", "hashesb"))
@@ -260,7 +268,36 @@ def cross_pairs(rows: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, n: int, p: int, q: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id; links join documents whose sets
     of n-word shingles have similarity at least p/q. ``docs``: doc_id, text."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rooted = rooted_documents(docs, n, p, q, hot_rows).drop("key")
+    least = (rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+             .where("n > 1").select(F.col("root").alias("r"), "least"))
+    return (rooted.join(least, F.col("root") == F.col("r"), "left")
+            .select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")))
+
+
+def distinct_documents(docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
+    """``docs`` with one document of each group: the smallest doc_id, of repeated ids the
+    smallest text hash, of repeated rows one. Documents without words or id all stay."""
+    plain, restored = tucked(docs, "doc_id", "text")
+    rooted, _ = kept(rooted_documents(plain, n, p, q).where("root is not null").select("doc_id", "key", "root"), "rooted")
+    best, n_best = kept(rooted.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("best"), F.count(F.lit(1)).alias("n"))
+                        .where("n > 1").select(F.col("root").alias("r"), F.col("best.key").alias("best")), "best")
+    inside = rooted.join(small(best, n_best["rows"], 24), F.col("root") == F.col("r"))
+    gone, n_gone = kept(inside.where("key <> best").select(F.col("key").alias("k")).distinct(), "gone")
+    twice, n_twice = kept(inside.where("key = best").groupBy("key").count().where("count > 1")
+                          .select(F.col("key").alias("k")), "twice")
+    own = plain.withColumn("own_key", document_key())
+    out = own.join(small(gone, n_gone["rows"], 16), F.col("own_key") == F.col("k"), "left_anti")
+    if n_twice["rows"]:
+        again = small(twice, n_twice["rows"], 16)
+        same = F.col("own_key") == F.col("k")
+        out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["own_key"]))
+    return restored(out)
+
+
+def rooted_documents(docs: DataFrame, n: int, p: int, q: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(doc_id, key, n_shingles, root): rows of one component have one root (null: no set)."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("key", document_key())
     size = F.greatest(n_words() - (n - 1), F.least(n_words(), F.lit(1)))
     reach = Bands(p, q, {}, 1 << 40)
     by_size = F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / math.log(1.05)).alias("step")
@@ -280,10 +317,10 @@ def near_groups(docs: DataFrame, n: int, p: int, q: int, hot_rows: int = HOT_ROW
     one, n_one = kept(one, "candidates")
     texts = docs.join(small(one.select("doc_id").distinct(), n_one["rows"], 16), "doc_id", "left_semi")
     sets, n_sets = kept(shingle_sets(texts, n).join(small(one.select("cid"), n_one["rows"], 16), "cid", "left_semi")
-                   .dropDuplicates(["cid"]), "sets")
+                   .dropDuplicates(["cid"]), "sets", sketch_bytes=F.sum(F.size("bits") * 8 + 40))
 
     star = shared.where("cid <> center").select(F.col("center").alias("a"), F.col("cid").alias("b")).distinct()
-    links, n_links = kept(verified(star, sets, n_sets["rows"], p, q), "links")
+    links, n_links = kept(verified(star, sets, n_sets, p, q), "links")
     roots, n_roots = kept(components(links), "roots")
     named = (shared.select("sig", "cid").join(small(roots, n_roots["rows"], 24), F.col("cid") == F.col("node"), "left")
              .select("sig", "cid", F.coalesce("root", "cid").alias("root")).distinct())
@@ -293,17 +330,13 @@ def near_groups(docs: DataFrame, n: int, p: int, q: int, hot_rows: int = HOT_ROW
     if n_rest["rows"]:
         tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         more, n_more = kept(verified(cross_pairs(rest).join(tried, ["a", "b"], "left_anti"),
-                                       sets, n_sets["rows"], p, q), "more-links")
+                                       sets, n_sets, p, q), "more-links")
         if n_more["rows"]:
             roots, n_roots = kept(components(links.union(more)), "roots")
 
     r = small(roots, n_roots["rows"], 24)
-    rooted = (table.select("doc_id", "n_shingles", "cid").join(r, F.col("cid") == F.col("node"), "left")
-              .select("doc_id", "n_shingles", F.coalesce("root", "cid").alias("root")))
-    least = (rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
-             .where("n > 1").select(F.col("root").alias("r"), "least"))
-    return (rooted.join(least, F.col("root") == F.col("r"), "left")
-            .select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")))
+    return (table.select("doc_id", "key", "n_shingles", "cid").join(r, F.col("cid") == F.col("node"), "left")
+            .select("doc_id", "key", "n_shingles", F.coalesce("root", "cid").alias("root")))
 
 
 def op2_jaccard_join(spark, sf_dir):

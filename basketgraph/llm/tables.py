@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,19 @@ def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= MAX_BROADCAST_BYTES else df
 
 
+def tucked(docs: DataFrame, *core: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with its other columns in one struct, where their names clash with nothing,
+    and a function that brings back the columns in their order."""
+    others = [c for c in docs.columns if c not in core]
+    plain = docs.select(*[c for c in docs.columns if c in core], *(
+        [F.struct(*[F.col(f"`{c}`") for c in others]).alias("other_columns")] if others else []))
+
+    def restored(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(c) if c in core else F.col("other_columns")[c].alias(c) for c in docs.columns])
+
+    return plain, restored
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b: long); root is the smallest node
     that links reach.
