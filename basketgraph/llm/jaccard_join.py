@@ -38,6 +38,7 @@ from .line_dedup import document_key
 from .source_mix import n_words
 from .tables import components, kept, small, tucked
 from .text import mix, set_fingerprint, shingles, slices, text_buffer, word_hashes
+from .vectors import grouped
 
 BAND_RATIO = 1.4
 HOT_ROWS = 100_000
@@ -252,17 +253,67 @@ def verified(pairs: DataFrame, sets: DataFrame, seen: dict, p: int, q: int) -> D
             .where(both * (p + q) >= F.col("sizes") * p).select("a", "b"))
 
 
-def cross_pairs(rows: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, of sets that share a signature but no component. ``rows``:
-    sig, cid, root, n (rows of the signature). Large buckets are compared block by block."""
+def likely_pairs(size: np.ndarray, bits: np.ndarray, root: np.ndarray, side: np.ndarray, cross: np.ndarray,
+                 starts: np.ndarray, ends: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (a, b) of one group, of different components (in a cross group also of different
+    sides), that sizes and sketches do not rule out."""
+    def alike(a, b):
+        ok = root[a] != root[b]
+        ok &= np.minimum(size[a], size[b]) * q >= np.maximum(size[a], size[b]) * p
+        ok &= ~cross[a] | (side[a] != side[b])
+        a, b = a[ok], b[ok]
+        differ = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+        ok = differ <= differences(size[a], size[b], p, q)
+        return a[ok], b[ok]
+
+    found = []
+    length = ends - starts
+    group = np.repeat(np.arange(len(starts)), length)
+    few = np.flatnonzero((length <= 64)[group])
+    for d in range(1, int(min(64, length.max(initial=1)))):
+        a = few[few + d < len(size)]
+        a = a[group[a] == group[a + d]]
+        if not len(a):
+            break
+        found.append(alike(a, a + d))
+    for r in np.flatnonzero(length > 64):
+        for i in range(starts[r], ends[r] - 1):
+            b = np.arange(i + 1, ends[r])
+            found.append(alike(np.full(len(b), i), b))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def cross_pairs(rows: DataFrame, sets: DataFrame, seen: dict, p: int, q: int) -> DataFrame:
+    """Distinct (a, b), a < b, of sets that share a signature but no component, less those
+    that sizes and sketches rule out. ``rows``: sig, cid, root, n (rows of the signature). A
+    large bucket is compared in pairs of blocks, each within one task; pairs ruled out are
+    never written."""
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
-    dealt = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    left = dealt.select("sig", F.col("cid").alias("a"), F.col("root").alias("ra"), F.col("own").alias("i"),
-                        F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"))
-    right = dealt.select("sig", F.col("cid").alias("b"), F.col("root").alias("rb"), F.col("own").alias("j"),
-                         F.explode(F.sequence(F.lit(0), "own")).alias("i"))
-    met = left.join(right, ["sig", "i", "j"]).where("ra <> rb and (i <> j or a < b)")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    folded = F.expr(f"transform(sequence(0, {SKETCH // 64 - 1}), i -> aggregate(filter(bits, (x, k) -> k % {SKETCH // 64} = i), "
+                    "0L, (t, x) -> t ^ x))")
+    sketch = sets.select(F.col("cid").alias("c"), "size", folded.alias("bits"))
+    dealt = (rows.join(small(sketch, seen["sketch_bytes"] or 0, 1), F.col("cid") == F.col("c"))
+             .withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                     (F.col("own") > F.col("other")).cast("int").alias("side"), "cid", "root", "size", "bits"))
+    keys = ["sig", "i", "j"]
+
+    def work(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch | None:
+        column = lambda c: table.column(c).to_numpy()
+        bits = table.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(table.num_rows, -1)
+        a, b = likely_pairs(column("size"), bits, column("root"), column("side"), column("i") != column("j"), starts,
+                            np.append(starts[1:], table.num_rows), p, q)
+        if not len(a):
+            return None
+        cid = column("cid")
+        pairs = np.unique(np.stack([np.minimum(cid[a], cid[b]), np.maximum(cid[a], cid[b])], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return (dealt.repartition(*keys).sortWithinPartitions(*keys, "side")
+            .mapInArrow(lambda batches: grouped(batches, keys, work), "a long, b long").distinct())
 
 
 def near_groups(docs: DataFrame, n: int, p: int, q: int, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -329,7 +380,7 @@ def rooted_documents(docs: DataFrame, n: int, p: int, q: int, hot_rows: int = HO
     rest, n_rest = kept(named.join(open_sigs, "sig"), "unsettled")
     if n_rest["rows"]:
         tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more, n_more = kept(verified(cross_pairs(rest).join(tried, ["a", "b"], "left_anti"),
+        more, n_more = kept(verified(cross_pairs(rest, sets, n_sets, p, q).join(tried, ["a", "b"], "left_anti"),
                                        sets, n_sets, p, q), "more-links")
         if n_more["rows"]:
             roots, n_roots = kept(components(links.union(more)), "roots")
