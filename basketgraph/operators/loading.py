@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def first_per_key(df: DataFrame, keys: list[str], order_by: str | None = None) -> DataFrame:
-    """One row per key: the one with the smallest ``order_by`` (the first submitted), or,
-    without an order, the smallest row. An aggregation with map-side combining, so a key
-    repeated a billion times never lands whole in one task."""
+    """One row per key: the one with the smallest ``order_by`` (the first submitted; a NULL
+    order comes last, ties take the smallest row), or, without an order, the smallest row.
+    Rows with a NULL in their key equal no other row, as under a unique constraint, and are
+    all kept. An aggregation with map-side combining, so a key repeated a billion times never
+    lands whole in one task."""
     others = [c for c in df.columns if c not in keys]
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    keyed, unkeyed = df.where(whole), df.where(~whole)
     if not others:
-        return df.select(*keys).distinct()
-    row = F.struct(*[F.col(c) for c in others])
-    pick = F.min_by(row, F.col(order_by)) if order_by else F.min(row)
-    return df.groupBy(*keys).agg(pick.alias("_row")).select(*keys, "_row.*")
+        return keyed.select(*keys).distinct().unionByName(unkeyed.select(*keys))
+    first = [F.col(order_by).isNull().alias("_no_order"), F.col(order_by).alias("_order")] if order_by else []
+    row = F.struct(*first, F.struct(*[F.col(c) for c in others]).alias("_row"))
+    return (keyed.groupBy(*keys).agg(F.min(row)["_row"].alias("_row")).select(*keys, "_row.*")
+            .unionByName(unkeyed.select(*keys, *others)))
 
 
 def load_ignore_duplicates(new: DataFrame, existing: DataFrame | None, keys: list[str],
@@ -42,8 +49,8 @@ def load_report(loads: dict[str, tuple[DataFrame, DataFrame]],
     """A3: (table_name, rows_read, rows_kept, rows_skipped, status, error) for every table.
 
     ``loads`` maps a table name to (rows submitted, rows kept); all counts come from one
-    aggregation over the union, one job for every table. ``failed`` maps a table name
-    to its error text.
+    aggregation over the union, one job for every table; a table without rows is listed with
+    zeros. ``failed`` maps a table name to its error text.
     """
     spark = None
     parts = []
@@ -59,9 +66,11 @@ def load_report(loads: dict[str, tuple[DataFrame, DataFrame]],
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    counts = (rows.groupBy("table_name")
-              .agg(F.sum("r").cast("long").alias("rows_read"),
-                   F.sum("k").cast("long").alias("rows_kept"))
+    names = spark.createDataFrame([(t,) for t in loads], "table_name string")
+    counted = rows.groupBy("table_name").agg(F.sum("r").alias("r"), F.sum("k").alias("k"))
+    counts = (names.join(counted, "table_name", "left")
+              .select("table_name", F.coalesce("r", F.lit(0)).cast("long").alias("rows_read"),
+                      F.coalesce("k", F.lit(0)).cast("long").alias("rows_kept"))
               .withColumn("rows_skipped", F.col("rows_read") - F.col("rows_kept"))
               .withColumn("status", F.lit("ok"))
               .withColumn("error", F.lit(None).cast("string")))
@@ -109,11 +118,11 @@ def load_entities(spark, root: str, layout: dict | None = None, fmt: str = "csv"
     for entity in ENTITIES:
         try:
             new = read_entity(spark, root, entity, layout, fmt)
-            new.schema  # resolves the columns now, so a bad file fails here
+            _read_through(new)  # every column of every row, so a bad value fails here
             rows = load_ignore_duplicates(new, stored.get(entity), KEYS[entity],
                                           order_by.get(entity))
         except Exception as exc:  # noqa: BLE001 - every failure is reported per table
-            failed[entity] = str(exc).splitlines()[0][:300]
+            failed[entity] = str(exc)
             continue
         kept[entity] = rows
         loads[entity] = (new, rows)
@@ -127,6 +136,11 @@ def load_entities(spark, root: str, layout: dict | None = None, fmt: str = "csv"
     return kept, report
 
 
+def _read_through(df: DataFrame) -> None:
+    """One job that evaluates every column, with its casts, of every row."""
+    df.select(F.xxhash64(*df.columns).alias("h")).agg(F.max("h")).collect()
+
+
 def raise_if_failed(report: DataFrame) -> None:
     """Raise when any table of a load report failed (the loader's non-zero exit)."""
     bad = [r.table_name for r in report.where(F.col("status") == "failed")

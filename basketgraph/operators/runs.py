@@ -9,21 +9,36 @@ GROUP = ["engine", "query"]
 
 
 def warmup_rows(runs: DataFrame, n: int = 5) -> DataFrame:
-    """The first ``n`` iterations of every (engine, query): (engine, query, iteration).
+    """How many runs of an iteration belong to the first ``n`` runs of their (engine, query):
+    (engine, query, iteration, _warm_runs).
 
-    ``row_number() <= n`` is planned as a partial group limit before the shuffle, so a
-    query with a billion runs still sends at most n rows per map task.
+    Runs are counted per iteration, so repeated iterations (two logs appended) do not put
+    more than ``n`` runs into the warm-up. The running count is limited to the first n
+    iterations, of which a partial group limit sends at most n rows per map task.
     """
+    per = runs.groupBy(*GROUP, "iteration").agg(F.count(F.lit(1)).alias("_runs"))
     w = Window.partitionBy(*GROUP).orderBy("iteration")
-    return (runs.select(*GROUP, "iteration").withColumn("_rn", F.row_number().over(w))
-                .where(F.col("_rn") <= n).drop("_rn"))
+    first = per.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
+    before = F.sum("_runs").over(w) - F.col("_runs")
+    return (first.withColumn("_before", before).where(F.col("_before") < n)
+            .select(*GROUP, "iteration", F.least("_runs", n - F.col("_before")).alias("_warm_runs")))
+
+
+def flag_warmup(runs: DataFrame, n: int) -> DataFrame:
+    """``runs`` with ``_warm``: true for the first ``n`` runs of each (engine, query). Of an
+    iteration that is only partly warm-up, the runs with the smallest times are taken."""
+    marked = runs.join(warmup_rows(runs, n), GROUP + ["iteration"], "left")
+    w = Window.partitionBy(*GROUP, "iteration").orderBy("elapsed_ms", "failed")
+    early = marked.where(F.col("_warm_runs").isNotNull()).withColumn("_warm", F.row_number().over(w) <= F.col("_warm_runs"))
+    rest = marked.where(F.col("_warm_runs").isNull()).withColumn("_warm", F.lit(False))
+    return early.unionByName(rest).drop("_warm_runs")
 
 
 def drop_warmup(runs: DataFrame, n: int = 5) -> DataFrame:
     """Every run except the first ``n`` of its (engine, query)."""
     if n <= 0:
         return runs
-    return runs.join(warmup_rows(runs, n), GROUP + ["iteration"], "left_anti")
+    return flag_warmup(runs, n).where(~F.col("_warm")).drop("_warm").select(*runs.columns)
 
 
 def run_summary(runs: DataFrame, warmup: int = 5) -> DataFrame:
@@ -35,8 +50,7 @@ def run_summary(runs: DataFrame, warmup: int = 5) -> DataFrame:
     """
     flagged = runs
     if warmup > 0:
-        warm = warmup_rows(runs, warmup).withColumn("_warm", F.lit(True))
-        flagged = runs.join(warm, GROUP + ["iteration"], "left")
+        flagged = flag_warmup(runs, warmup)
     timed = F.coalesce(F.col("_warm"), F.lit(False)) if warmup > 0 else F.lit(False)
     ms = F.when(~timed, F.col("elapsed_ms"))
     agg = (flagged.groupBy(*GROUP)

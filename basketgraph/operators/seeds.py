@@ -40,12 +40,13 @@ def draw_seeds(pool: DataFrame, n: int, rng_seed: int, id_col: str) -> DataFrame
                 .orderBy("_draw", id_col).limit(n).drop("_draw"))
 
 
-def seed_pairs(pool: DataFrame, rng_seed: int, id_col: str) -> DataFrame:
+def seed_pairs(pool: DataFrame, rng_seed: int, id_col: str, most: int = 10_000) -> DataFrame:
     """Pairs of two different pool members for two-customer queries: each drawn member
-    with the next one in draw order, (source_id, target_id). Meant for a drawn sample
-    (B3), whose size is bounded; the ordering runs in one task."""
-    ranked = pool.select(F.col(id_col).alias("source_id"),
-                         draw_key(id_col, rng_seed).alias("_draw"))
+    with the next one in draw order, (source_id, target_id). At most ``most`` members are
+    drawn (B3), so the ordering, which runs in one task, is bounded."""
+    drawn = draw_seeds(pool.select(id_col), most, rng_seed, id_col)
+    ranked = drawn.select(F.col(id_col).alias("source_id"),
+                          draw_key(id_col, rng_seed).alias("_draw"))
     return (ranked.select("source_id", F.lead("source_id").over(
                 Window.orderBy("_draw", "source_id")).alias("target_id"))
                   .where(F.col("target_id").isNotNull()))

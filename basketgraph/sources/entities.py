@@ -33,7 +33,7 @@ def read_entity(spark: SparkSession, root: str, entity: str, layout: dict | None
     path = _entity_path(root, stem, fmt)
     if fmt == "csv":
         raw = (spark.read.option("header", True).option("mode", "FAILFAST")
-               .option("multiLine", False).csv(path))
+               .option("escape", '"').option("multiLine", False).csv(path))
     elif fmt == "parquet":
         raw = spark.read.parquet(path)
     else:

@@ -52,16 +52,24 @@ def rekey_customers(customers: DataFrame, orders: DataFrame, key: str,
     return people, rekeyed.select(*cols)
 
 
+def unique_rows(df: DataFrame, key: str) -> DataFrame:
+    """One row per id, as a unique id on load keeps; rows without an id resolve to nothing."""
+    from .operators.loading import first_per_key
+
+    return first_per_key(df.where(F.col(key).isNotNull()), [key]).select(*df.columns)
+
+
 class OrderStore:
     def __init__(self, customers: DataFrame, products: DataFrame, sellers: DataFrame,
                  orders: DataFrame, items: DataFrame, resolve: bool = True,
                  hot_rows: int | None = None, customer_key: str = "customer_id"):
         if customer_key != "customer_id":
             customers, orders = rekey_customers(customers, orders, customer_key, hot_rows)
-        self.customers = customers
-        self.products = products
-        self.sellers = sellers
-        self.orders = orders
+        # Ids are unique in a store: of rows with one id the first (smallest) stays.
+        self.customers = unique_rows(customers, "customer_id")
+        self.products = unique_rows(products, "product_id")
+        self.sellers = unique_rows(sellers, "seller_id")
+        self.orders = unique_rows(orders, "order_id")
         self.items_raw = items
         self.resolve = resolve
         self.hot_rows = hot_rows

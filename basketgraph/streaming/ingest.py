@@ -15,14 +15,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..layout import KEYS, OLIST_LAYOUT
 from ..operators.loading import load_ignore_duplicates
-from ..session import scratch_path
 from ..sources.entities import CSV_CASTS
 
 
-def physical_schema(layout: dict, entity: str) -> str:
-    """DDL of a CSV holding exactly the mapped columns, all as text."""
-    _, cols = layout[entity]
-    return ", ".join(f"`{phys}` string" for phys in cols.values())
+def header_schema(spark: SparkSession, source_dir: str) -> str:
+    """DDL of the files' own columns in their order, all as text, from their header."""
+    names = spark.read.option("header", True).option("escape", '"').csv(source_dir).columns
+    return ", ".join(f"`{n}` string" for n in names)
 
 
 def _logical(df: DataFrame, layout: dict, entity: str) -> DataFrame:
@@ -47,13 +46,16 @@ def start_incremental_load(spark: SparkSession, source_dir: str, entity: str, ta
                            available_now: bool = True) -> StreamingQuery:
     """Start loading ``source_dir`` into the Parquet table at ``target``.
 
-    ``available_now=True`` processes every file present and stops (a scheduled load);
+    Columns are found by name in the files' header; files whose header differs in order fail.
+    The checkpoint lies beside the table unless given, so a later start goes on where the
+    last one ended. ``available_now=True`` processes every file present and stops (a scheduled load);
     otherwise the query keeps watching the folder.
     """
     layout = layout or OLIST_LAYOUT
     keys = KEYS[entity] if keys is None else keys
-    reader = (spark.readStream.schema(schema or physical_schema(layout, entity))
-              .option("header", True).option("mode", "FAILFAST"))
+    reader = (spark.readStream.schema(schema or header_schema(spark, source_dir))
+              .option("header", True).option("escape", '"').option("enforceSchema", False)
+              .option("mode", "FAILFAST"))
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     stream = _logical(reader.csv(source_dir), layout, entity)
@@ -66,7 +68,7 @@ def start_incremental_load(spark: SparkSession, source_dir: str, entity: str, ta
         kept.write.mode("overwrite").parquet(f"{target.rstrip('/')}/batch_id={batch_id}")
 
     writer = (stream.writeStream.foreachBatch(load_batch)
-              .option("checkpointLocation", checkpoint or scratch_path(spark, f"stream-{entity}")))
+              .option("checkpointLocation", checkpoint or f"{target.rstrip('/')}-checkpoint"))
     writer = writer.trigger(availableNow=True) if available_now else writer
     return writer.start()
 
