@@ -15,9 +15,11 @@ than the slack (from the number of documents in the band).
 
 Candidates are verified exactly on the sets. In a bucket every member is first compared with
 the smallest one only; links make components; a bucket whose members then lie in one component
-is settled. Only pairs of a bucket in different components are compared after that. So a group
-of n near copies costs about n comparisons, exact copies are one set from the start, and no
-link between different components goes unseen.
+is settled. Of the other buckets a spanning forest of the pairs that sketches let pass is
+verified next, at most one pair less than a bucket has components. Only pairs of a bucket
+still in different components are all compared after that. So a group of n near copies costs
+about n comparisons, exact copies are one set from the start, and no link between different
+components goes unseen.
 
 Defined cases: null or empty text: no shingles, linked with nothing; rows with a null doc_id
 take no part and have a null component; repeated rows are equal sets and so one component;
@@ -254,11 +256,14 @@ def verified(pairs: DataFrame, sets: DataFrame, seen: dict, p: int, q: int) -> D
 
 
 def likely_pairs(size: np.ndarray, bits: np.ndarray, root: np.ndarray, side: np.ndarray, cross: np.ndarray,
-                 starts: np.ndarray, ends: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
+                 starts: np.ndarray, ends: np.ndarray, p: int, q: int, forest: bool) -> tuple[np.ndarray, np.ndarray]:
     """Rows (a, b) of one group, of different components (in a cross group also of different
-    sides), that sizes and sketches do not rule out."""
+    sides), that sizes and sketches do not rule out. forest: of these only as many as join
+    the components of each group that any of them join."""
+    label = root.copy() if forest else root
+
     def alike(a, b):
-        ok = root[a] != root[b]
+        ok = label[a] != label[b]
         ok &= np.minimum(size[a], size[b]) * q >= np.maximum(size[a], size[b]) * p
         ok &= ~cross[a] | (side[a] != side[b])
         a, b = a[ok], b[ok]
@@ -275,19 +280,34 @@ def likely_pairs(size: np.ndarray, bits: np.ndarray, root: np.ndarray, side: np.
         a = a[group[a] == group[a + d]]
         if not len(a):
             break
-        found.append(alike(a, a + d))
+        a, b = alike(a, a + d)
+        if forest:
+            needed = np.zeros(len(a), bool)
+            for k, (x, y) in enumerate(zip(a, b, strict=True)):
+                if label[x] != label[y]:
+                    needed[k] = True
+                    own = label[starts[group[x]]: ends[group[x]]]
+                    own[own == label[y]] = label[x]
+            a, b = a[needed], b[needed]
+        found.append((a, b))
     for r in np.flatnonzero(length > 64):
         for i in range(starts[r], ends[r] - 1):
             b = np.arange(i + 1, ends[r])
-            found.append(alike(np.full(len(b), i), b))
+            a, b = alike(np.full(len(b), i), b)
+            if forest and len(b):
+                joined, one = np.unique(label[b], return_index=True)
+                a, b = a[one], b[one]
+                own = label[starts[r]: ends[r]]
+                own[np.isin(own, joined)] = label[i]
+            found.append((a, b))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def cross_pairs(rows: DataFrame, sets: DataFrame, seen: dict, p: int, q: int) -> DataFrame:
+def cross_pairs(rows: DataFrame, sets: DataFrame, seen: dict, p: int, q: int, forest: bool) -> DataFrame:
     """Distinct (a, b), a < b, of sets that share a signature but no component, less those
-    that sizes and sketches rule out. ``rows``: sig, cid, root, n (rows of the signature). A
+    that sizes and sketches rule out; with ``forest`` a spanning forest of them. ``rows``: sig, cid, root, n (rows of the signature). A
     large bucket is compared in pairs of blocks, each within one task; pairs ruled out are
     never written."""
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
@@ -305,7 +325,7 @@ def cross_pairs(rows: DataFrame, sets: DataFrame, seen: dict, p: int, q: int) ->
         column = lambda c: table.column(c).to_numpy()
         bits = table.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(table.num_rows, -1)
         a, b = likely_pairs(column("size"), bits, column("root"), column("side"), column("i") != column("j"), starts,
-                            np.append(starts[1:], table.num_rows), p, q)
+                            np.append(starts[1:], table.num_rows), p, q, forest)
         if not len(a):
             return None
         cid = column("cid")
@@ -320,9 +340,10 @@ def near_groups(docs: DataFrame, n: int, p: int, q: int, hot_rows: int = HOT_ROW
     """One row a document: doc_id, n_shingles, component_id; links join documents whose sets
     of n-word shingles have similarity at least p/q. ``docs``: doc_id, text."""
     rooted = rooted_documents(docs, n, p, q, hot_rows).drop("key")
-    least = (rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
-             .where("n > 1").select(F.col("root").alias("r"), "least"))
-    return (rooted.join(least, F.col("root") == F.col("r"), "left")
+    least, seen = kept(
+        rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+        .where("n > 1").select(F.col("root").alias("r"), "least"), "least")
+    return (rooted.join(small(least, seen["rows"], 16), F.col("root") == F.col("r"), "left")
             .select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")))
 
 
@@ -373,17 +394,20 @@ def rooted_documents(docs: DataFrame, n: int, p: int, q: int, hot_rows: int = HO
     star = shared.where("cid <> center").select(F.col("center").alias("a"), F.col("cid").alias("b")).distinct()
     links, n_links = kept(verified(star, sets, n_sets, p, q), "links")
     roots, n_roots = kept(components(links), "roots")
-    named = (shared.select("sig", "cid").join(small(roots, n_roots["rows"], 24), F.col("cid") == F.col("node"), "left")
-             .select("sig", "cid", F.coalesce("root", "cid").alias("root")).distinct())
-    open_sigs = (named.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-                 .where("n > 2 and r0 <> r1").select("sig", "n"))
-    rest, n_rest = kept(named.join(open_sigs, "sig"), "unsettled")
-    if n_rest["rows"]:
-        tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more, n_more = kept(verified(cross_pairs(rest, sets, n_sets, p, q).join(tried, ["a", "b"], "left_anti"),
-                                       sets, n_sets, p, q), "more-links")
+    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for forest in (True, False):
+        named = (shared.select("sig", "cid").join(small(roots, n_roots["rows"], 24), F.col("cid") == F.col("node"), "left")
+                 .select("sig", "cid", F.coalesce("root", "cid").alias("root")).distinct())
+        open_sigs = (named.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+                     .where("n > 2 and r0 <> r1").select("sig", "n"))
+        rest, n_rest = kept(named.join(open_sigs, "sig"), "unsettled")
+        if not n_rest["rows"]:
+            break
+        new = cross_pairs(rest, sets, n_sets, p, q, forest).join(tried, ["a", "b"], "left_anti")
+        more, n_more = kept(verified(new, sets, n_sets, p, q), "more-links")
         if n_more["rows"]:
-            roots, n_roots = kept(components(links.union(more)), "roots")
+            links = links.union(more)
+            roots, n_roots = kept(components(links), "roots")
 
     r = small(roots, n_roots["rows"], 24)
     return (table.select("doc_id", "key", "n_shingles", "cid").join(r, F.col("cid") == F.col("node"), "left")
