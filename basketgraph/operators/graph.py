@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.skew import split_hot_join
 from ..store import OrderStore
 
 
@@ -74,10 +75,13 @@ def unresolved_rows(store: OrderStore) -> DataFrame:
             cols.append(F.col(c) if c in df.columns else F.lit(None).cast(id_types[c]).alias(c))
         return df.select(*cols, F.lit(reason).alias("reason"))
 
-    lost_orders = o.join(store.customers.select("customer_id"), "customer_id", "left_anti")
-    no_order = it.join(store.known_orders().select("order_id"), "order_id", "left_anti")
-    no_product = it.join(store.products.select("product_id"), "product_id", "left_anti")
-    no_seller = it.join(store.sellers.select("seller_id"), "seller_id", "left_anti")
+    def lost(df: DataFrame, known: DataFrame, key: str) -> DataFrame:
+        return split_hot_join(df, known.select(key), key, "left_anti", store.hot_rows)
+
+    lost_orders = lost(o, store.customers, "customer_id")
+    no_order = lost(it, store.known_orders(), "order_id")
+    no_product = lost(it, store.products, "product_id")
+    no_seller = lost(it, store.sellers, "seller_id")
     return (shaped(lost_orders, "orders", "unknown customer")
             .unionByName(shaped(no_order, "items", "unknown order"))
             .unionByName(shaped(no_product, "items", "unknown product"))

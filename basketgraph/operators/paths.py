@@ -36,6 +36,7 @@ from .recommend import _finish, seed_frame
 
 PATH_MODES = ("walk", "simple")
 MAX_SIMPLE_DEPTH = 4
+WIDE = "decimal(38,0)"
 
 
 def _spread_to_customers(g: DataFrame, g_rows: int, m: DataFrame) -> DataFrame:
@@ -65,7 +66,7 @@ def _sum_by_customer(parts: list[DataFrame]) -> DataFrame:
 
 
 def pair_square_sums(store: OrderStore, customers: DataFrame, items: str,
-                     hot_rows: int | None = None) -> DataFrame:
+                     hot_rows: int | None = None, wide: bool = False) -> DataFrame:
     """N2(customer_id, n2) = sum over other customers b of A(c, b)^2, for the given customers.
 
     ||A(c, .)||^2 is split by product. Products with at most ``hot_rows`` customers (cold)
@@ -83,6 +84,8 @@ def pair_square_sums(store: OrderStore, customers: DataFrame, items: str,
     if hot_rows is None:
         hot_rows = int(spark.conf.get(HOT_GROUP_KEY, str(DEFAULT_HOT_GROUP_ROWS)))
     m = store.customer_products(items)
+    if wide:
+        m = m.withColumn("w", F.col("w").cast(WIDE))
     # At most |m| / hot_rows hot products; their count is measured before any broadcast.
     hot, n_hot = store.hot_products(hot_rows)
     hot_side = broadcast_if_small(hot, n_hot)
@@ -109,21 +112,18 @@ def pair_square_sums(store: OrderStore, customers: DataFrame, items: str,
                     .groupBy("customer_id")
                     .agg(F.sum(F.col("hw") * F.col("w") * F.col("bw")).alias("v")))
         parts += [cross, both_hot]
-    sq = store.self_weight(items)
+    sq = store.self_weight(items, wide)
     return (_sum_by_customer(parts).join(sq, "customer_id")
             .select("customer_id", (F.col("v") - F.col("sq") * F.col("sq")).alias("n2")))
 
 
-WIDE = "decimal(38,0)"
-
-
 def path_counts(store: OrderStore, seeds: DataFrame, depth: int, mode: str = "walk",
                 items: str = "bag", hot_rows: int | None = None, wide: bool = False,
                 seed_rows: int | None = None) -> DataFrame:
     """(seed_id, product_id, freq) for every product reached at the given depth.
 
-    Counts are longs; an overflow raises (ANSI arithmetic). ``wide=True`` carries them as
-    decimal(38,0) instead."""
+    Counts are longs; an overflow raises (ANSI arithmetic). ``wide=True`` carries them, and
+    every product of weights behind them, as decimal(38,0) instead."""
     check_items_mode(items)
     if mode not in PATH_MODES:
         raise ValueError(f"mode must be one of {PATH_MODES}, got {mode!r}")
@@ -145,17 +145,13 @@ def path_counts(store: OrderStore, seeds: DataFrame, depth: int, mode: str = "wa
     for hop in range(1, depth):
         t = _spread_to_customers(g, g_rows, m)
         if mode == "simple" and hop >= 2:
-            sq = store.self_weight(items)
-            if wide:
-                sq = sq.withColumn("sq", F.col("sq").cast(WIDE))
+            sq = store.self_weight(items, wide)
             prev = fs[-1].withColumnRenamed("w", "prev")
             fw = F.col("w") - F.coalesce(F.col("prev"), F.lit(0)) * F.col("sq")
             t = t.join(sq, "customer_id").join(prev, ["seed_id", "customer_id"], "left")
             if hop == 3:
                 f1 = fs[0].withColumnRenamed("w", "f1")
-                n2 = pair_square_sums(store, f1.select("customer_id").distinct(), items, hot_rows)
-                if wide:
-                    n2 = n2.withColumn("n2", F.col("n2").cast(WIDE))
+                n2 = pair_square_sums(store, f1.select("customer_id").distinct(), items, hot_rows, wide)
                 t = t.join(f1, ["seed_id", "customer_id"], "left").join(n2, "customer_id", "left")
                 f1c = F.coalesce(F.col("f1"), F.lit(0))
                 fw = fw - f1c * (F.coalesce(F.col("n2"), F.lit(0)) - f1c * f1c)

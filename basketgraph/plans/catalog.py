@@ -30,7 +30,8 @@ from ..streaming.ingest import loaded_table, start_incremental_load
 RNG_SEED = 42
 POOL = 20
 K = 10
-ENGINES = ["view", "click"]
+ENGINES = ["view", "click", "error", "purchase", "signup"]
+FALLBACK_IDS = [1, 2, 3]
 # Snapshot dates used by the loading scenarios.
 ORDERS_LOADED_BEFORE = "1998-01-01"
 ORDERS_STORED_BEFORE = "1997-01-01"
@@ -278,6 +279,11 @@ def q_seeds_with_fallback(spark, sf_dir):
     return S.with_fallback(customer_pool(spark, sf_dir), [], 2, "customer_id")
 
 
+def q_seeds_from_fallback(spark, sf_dir):
+    """A pool of one row is too small, so the fixed ids stand in."""
+    return S.with_fallback(customer_pool(spark, sf_dir).limit(1), FALLBACK_IDS, 2, "customer_id")
+
+
 def _runs(spark, sf_dir):
     return runs_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"), 8, 0.1)
 
@@ -341,6 +347,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "draw_seeds": q_draw_seeds,
     "seed_pairs": q_seed_pairs,
     "seeds_with_fallback": q_seeds_with_fallback,
+    "seeds_from_fallback": q_seeds_from_fallback,
     # D
     "timed_runs": q_timed_runs,
     "run_summary": q_run_summary,

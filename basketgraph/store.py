@@ -151,11 +151,11 @@ class OrderStore:
         """Items whose order (with a known customer), product and seller all exist,
         carrying the order's customer: (order_id, customer_id, product_id, seller_id, price)."""
         it = self.items_raw.select("order_id", "product_id", "seller_id", "price")
-        # One order may hold a large share of all items.
-        df = split_hot_join(it, self.known_orders(), "order_id", "inner", self.hot_rows)
+        # One product, seller or order may hold a large share of all items.
         if self.resolve:
-            df = (df.join(self.products.select("product_id"), "product_id", "left_semi")
-                    .join(self.sellers.select("seller_id"), "seller_id", "left_semi"))
+            it = split_hot_join(it, self.products.select("product_id"), "product_id", "left_semi", self.hot_rows)
+            it = split_hot_join(it, self.sellers.select("seller_id"), "seller_id", "left_semi", self.hot_rows)
+        df = split_hot_join(it, self.known_orders(), "order_id", "inner", self.hot_rows)
         return df.select("order_id", "customer_id", "product_id", "seller_id", "price")
 
     def items(self, items: str = "bag") -> DataFrame:
@@ -196,10 +196,13 @@ class OrderStore:
         return self.order_product_weights().select(
             "order_id", "product_id", F.col(f"w_{items}").alias("w"))
 
-    def self_weight(self, items: str = "bag") -> DataFrame:
+    def self_weight(self, items: str = "bag", wide: bool = False) -> DataFrame:
         """sq(customer_id, sq) = sum over products of m(c,p)^2: the weight of the walks
-        c - p - c that return to the same customer."""
+        c - p - c that return to the same customer. ``wide``: decimals, not kept longs."""
         check_items_mode(items)
+        if wide:
+            w = F.col("w").cast("decimal(38,0)")
+            return self.customer_products(items).groupBy("customer_id").agg(F.sum(w * w).alias("sq"))
         sq = self.derived("sq", lambda: (
             self.customer_product_weights().groupBy("customer_id")
             .agg(F.sum(F.col("w_bag") * F.col("w_bag")).alias("sq_bag"),
