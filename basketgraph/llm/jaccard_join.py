@@ -388,8 +388,11 @@ def rooted_documents(docs: DataFrame, n: int, p: int, q: int, hot_rows: int = HO
            .join(members, "cid", "left_semi"))
     one, n_one = kept(one, "candidates")
     texts = docs.join(small(one.select("doc_id").distinct(), n_one["rows"], 16), "doc_id", "left_semi")
-    sets, n_sets = kept(shingle_sets(texts, n).join(small(one.select("cid"), n_one["rows"], 16), "cid", "left_semi")
-                   .dropDuplicates(["cid"]), "sets", sketch_bytes=F.sum(F.size("bits") * 8 + 40))
+    sketch_bytes = F.sum(F.size("bits") * 8 + 40)
+    sets, n_sets = kept(shingle_sets(texts, n).join(small(one.select("cid"), n_one["rows"], 16), "cid", "left_semi"),
+                        "sets", sketch_bytes=sketch_bytes)
+    if n_sets["rows"] > n_one["rows"]:  # one doc_id a set, so only repeated rows give a set twice
+        sets, n_sets = kept(sets.dropDuplicates(["cid"]), "distinct-sets", sketch_bytes=sketch_bytes)
 
     star = shared.where("cid <> center").select(F.col("center").alias("a"), F.col("cid").alias("b")).distinct()
     links, n_links = kept(verified(star, sets, n_sets, p, q), "links")
