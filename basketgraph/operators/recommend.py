@@ -136,11 +136,12 @@ def city_category_recs(store: OrderStore, seeds: DataFrame, items: str = "bag",
     own = (m.join(s, m.customer_id == s.seed_id)
             .select("seed_id", "product_id", F.col("w").alias("own")))
     cats = store.products.select("product_id", "category").where(F.col("category").isNotNull())
-    seed_cats = bounded(own.join(cats, "product_id").select("seed_id", "category").distinct(),
-                        _bound(store, seed_rows, "products_per_customer"))
-    recs = (seed_city.join(totals, "city")
-            .join(cats, "product_id")
-            .join(seed_cats, ["seed_id", "category"], "left_semi")
+    # A seed meets only the totals of its city's products in its own categories.
+    wanted = bounded(own.join(cats, "product_id").select("seed_id", "category").distinct()
+                        .join(seed_city, "seed_id"),
+                     _bound(store, seed_rows, "products_per_customer"))
+    recs = (totals.join(cats, "product_id")
+            .join(wanted, ["city", "category"])
             .join(own, ["seed_id", "product_id"], "left")
             .select("seed_id", "product_id",
                     (F.col("total") - F.coalesce(F.col("own"), F.lit(0))).alias("freq"))
