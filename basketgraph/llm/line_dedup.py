@@ -69,7 +69,8 @@ def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> tuple[Da
         .where("first.key <> last.key").select("h", F.col("first.key").alias("first")), "shared-lines")
     held, _ = kept(rows.select("key", "rank", "pos", "h", "words")
                    .join(small(shared, n_shared["rows"], 32), "h"), "repeated-lines")
-    lists = held.groupBy("key").agg(F.sort_array(F.collect_list(
+    # a set: repeated rows share a key and bring each of its lines once, whatever their number
+    lists = held.groupBy("key").agg(F.sort_array(F.collect_set(
         F.struct("rank", "pos", "h", "words"))).alias("lines"))
     lists, _ = kept(lists, "line-lists")
     pairs = held.where("key <> first").select("key", "first").distinct()
@@ -81,7 +82,8 @@ def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> tuple[Da
         for frame in frames:
             out = [(key, gone) for key, a, b in frame.itertuples(index=False)
                    if (gone := blocks(as_rows(a), as_rows(b), least_words))]
-            yield pd.DataFrame({"key": pd.Series([k for k, _ in out], dtype="int64"), "gone": [g for _, g in out]})
+            if out:  # an empty column of lists has no type
+                yield pd.DataFrame({"key": pd.Series([k for k, _ in out], dtype="int64"), "gone": [g for _, g in out]})
 
     found = both.mapInPandas(run, "key long, gone array<int>")
     merged, seen = kept(found.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")),
