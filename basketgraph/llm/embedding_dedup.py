@@ -1,12 +1,16 @@
 """Operator 4: embedding near-duplicates by iterative quantisation and Hamming tables.
 
-From a bounded sample, ITQ learns rotations of the principal components under which the signs
-are balanced binary codes of little quantisation error. The code is cut into substrings, one
-per table of a multi-index; two vectors meet in every table whose substring they share, and
+From a bounded sample of unit vectors, ITQ learns rotations of the principal components under
+which the signs are binary codes of little quantisation error. The code is cut into substrings,
+one per table of a multi-index; two vectors meet in every table whose substring they share, and
 are compared there with their original vectors in double precision. Substrings get longer
 with the number of vectors (so buckets stay small), and there are as many tables as a pair
 exactly at the threshold needs to meet in one of them with probability ``recall``.
 
+That number follows from the pair's angle at the origin. Vectors are therefore encoded at unit
+length, and no mean is taken off: either would change the angles, and links would be lost. The
+price is that vectors with a strong common direction share more bits and buckets get larger.
+
 Equal vectors are one class with a multiplicity. A bucket is compared in blocks of at most
 BLOCK by BLOCK; a pair counts only in the first table where it meets, so no table of pairs is
 ever written: a task sends each vector's number of links and a spanning forest of its links.
@@ -33,13 +37,18 @@ SAMPLE_ROWS = 8192
 BLOCK = 1024
 
 
-def learn_itq(sample: np.ndarray, bits: int, rounds: int = 30, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection): signs of (x - mean) @ projection are the code of at least ``bits``
+def unit_length(x: np.ndarray) -> np.ndarray:
+    """Rows of ``x`` (none all zero) at length 1; scaled first, so that no square overflows."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def learn_itq(sample: np.ndarray, bits: int, rounds: int = 30, seed: int = 0) -> np.ndarray:
+    """Projection: signs of unit_length(x) @ projection are the code of at least ``bits``
     bits. Each rotation gives as many bits as there are dimensions."""
-    mean = sample.mean(axis=0)
-    centred = sample - mean
-    _, axes = np.linalg.eigh(centred.T @ centred)  # principal axes, as columns
-    reduced = centred @ axes
+    unit = unit_length(sample)
+    _, axes = np.linalg.eigh(unit.T @ unit)  # principal axes, as columns
+    reduced = unit @ axes
     rng = np.random.default_rng(seed)
     parts = []
     while sum(p.shape[1] for p in parts) < bits:
@@ -49,7 +58,7 @@ def learn_itq(sample: np.ndarray, bits: int, rounds: int = 30, seed: int = 0) ->
             u, _, vt = np.linalg.svd(codes.T @ reduced)
             rotation = (u @ vt).T
         parts.append(axes @ rotation)
-    return mean, np.concatenate(parts, axis=1)[:, :bits]
+    return np.concatenate(parts, axis=1)[:, :bits]
 
 
 def table_plan(n: int, cosine: float, recall: float) -> tuple[int, int]:
@@ -59,9 +68,9 @@ def table_plan(n: int, cosine: float, recall: float) -> tuple[int, int]:
     return width, max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
 
 
-def substrings(x: np.ndarray, mean: np.ndarray, projection: np.ndarray, width: int) -> np.ndarray:
+def substrings(x: np.ndarray, projection: np.ndarray, width: int) -> np.ndarray:
     """One int per table and vector."""
-    bits = ((x - mean) @ projection >= 0).reshape(len(x), -1, width)
+    bits = (unit_length(x) @ projection >= 0).reshape(len(x), -1, width)
     return (bits * (1 << np.arange(width))).sum(axis=2).astype(np.int32)
 
 
@@ -129,8 +138,8 @@ def near_vectors(rows: DataFrame, cosine: float = 0.95, recall: float = 0.99,
     else:
         width, tables = table_plan(n, cosine, recall)
         sample = classes.orderBy(F.xxhash64("cid"), "cid").limit(sample_rows).select("v").toPandas()["v"]
-        mean, projection = learn_itq(np.stack(sample.to_numpy()).astype(np.float64), width * tables)
-        links = _linked(classes, dim, mean, projection, width, tables, cosine)
+        projection = learn_itq(np.stack(sample.to_numpy()).astype(np.float64), width * tables)
+        links = _linked(classes, dim, projection, width, tables, cosine)
     links, _ = kept(links, "links")
     edges = links.where("root <> cid").select(F.col("cid").alias("a"), F.col("root").alias("b"))
     roots, n_roots = kept(components(edges), "roots")
@@ -151,13 +160,13 @@ def near_vectors(rows: DataFrame, cosine: float = 0.95, recall: float = 0.99,
                     F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept")))
 
 
-def _linked(classes: DataFrame, dim: int, mean: np.ndarray, projection: np.ndarray, width: int, tables: int,
+def _linked(classes: DataFrame, dim: int, projection: np.ndarray, width: int, tables: int,
             cosine: float) -> DataFrame:
     """(cid, links, root): parts of each class's number of links, and a forest of the links."""
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                codes = substrings(matrix(batch.column(1), dim), mean, projection, width)
+                codes = substrings(matrix(batch.column(1), dim), projection, width)
                 offsets = np.arange(0, codes.size + 1, tables, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, pa.ListArray.from_arrays(offsets, codes.ravel())],
