@@ -107,7 +107,7 @@ class Scanner:
         for low, high in windows:
             if high - low < need:
                 continue
-            pairs = align(words[low:high], template)
+            pairs = align(words[low:high], template, repeats=False)
             hit = self._span([places[low + i] for i, _ in pairs], need, reach)
             if hit and (found is None or (hit[0], -hit[1]) > (found[0], -found[1])):
                 found = hit

@@ -3,9 +3,12 @@
 Lines (without outer white space, blank ones left out) are hashed. A line that several
 documents hold leads each later document to the first one that has it, so even a line found
 everywhere costs one pair a document, never a pair of any two holders. For each such pair the
-sequences of repeated lines are aligned by patience diff; runs of aligned lines that follow
-each other in both documents form blocks, and blocks of at least ``least_words`` words are
-deleted from the later document. The first holder of a line always keeps it.
+sequences of repeated lines are aligned by patience diff, and what it leaves without unique
+lines by longest common runs; runs of aligned lines that follow each other in both documents
+form blocks, and blocks of at least ``least_words`` words are deleted from the later document.
+The first holder of a line always keeps it. An alignment keeps the order and uses each line
+once: of a passage that the later document holds more often than the earlier one, or in
+another order, the rest stays.
 
 Only hashes travel: a line is 8 bytes, a document is the list of its repeated lines. Grouping
 by line is an aggregate with map-side combining; the join back to a hot line's holders is
