@@ -9,9 +9,10 @@ only the first segments its own sizes need, a prefix that both sides agree on.
 
 Segments that are empty say nothing and are not indexed. ``slack`` extra units make up for
 them; a set that loses more units than that indexes its empty segments as well, and of two
-such sets both do, so no link is lost. Per band the number of two-unit segments and the slack
-are chosen by cost: signatures written, against candidates expected from sets that lose more
-than the slack (from the number of documents in the band).
+such sets both do, so no link is lost. The slack follows the band: larger sets have more empty
+segments, and the mean loss with a few deviations covers nearly all of them. Per band the number
+of two-unit segments and the slack are chosen by cost: signatures written, against candidates
+expected from sets that lose more than the slack (from the number of documents in the band).
 
 Candidates are verified exactly on the sets. In a bucket every member is first compared with
 the smallest one only; links make components; a bucket whose members then lie in one component
@@ -46,6 +47,7 @@ BAND_RATIO = 1.4
 HOT_ROWS = 100_000
 BLOCK = 512
 SKETCH = 1024  # bits
+WEAK_COST = 4  # of a signature of one hash, in signatures
 
 
 def differences(s, l, p: int, q: int):
@@ -54,6 +56,13 @@ def differences(s, l, p: int, q: int):
     return (q - p) * (s + l) // (p + q)
 
 
+def _poisson_above(mean: float, limit: int) -> float:
+    """Chance of more than ``limit`` events where ``mean`` are expected."""
+    if mean > 50:
+        return 0.5 * math.erfc((limit + 0.5 - mean) / math.sqrt(2 * mean))
+    return max(0.0, 1 - sum(math.exp(-mean) * mean ** i / math.factorial(i) for i in range(limit + 1)))
+
+
 class Bands:
     """Size bands and each band's allocation: m segments, the first k of two units."""
 
@@ -76,22 +85,38 @@ class Bands:
         low, high = int(self.low[g]), int(self.high[g])
         units = differences(high, high, self.p, self.q) + 1
         n = sum(c for size, c in counts.items() if size == g)
+        # sizes that index this band: its own, and partners of the band below
+        sizes = np.unique(np.linspace(max(1, -(-low * self.p // self.q)), high, 9).astype(np.int64))
+        most = np.minimum(sizes * self.q // self.p, high)
+        wanted = np.where(most >= low, differences(sizes, most, self.p, self.q) + 1, 1)
         best = None
-        for slack in range(0, 7):
-            for k in range(0, min(units, 3) + 1):
+        for k in range(0, min(units, 3) + 1):
+            slacks, spread = set(range(7)), 0
+            for deviations in (1, 2, 3, 4, 5):  # slack that covers the mean loss and so many deviations
+                for _ in range(8):
+                    mean = self._lost(sizes, wanted + spread, units + spread - k, k)
+                    spread = math.ceil(mean + deviations * math.sqrt(mean))
+                slacks.add(spread)
+            for slack in sorted(slacks):
                 m = units + slack - k
                 if m < max(1, k):  # the two-unit segments are among the m
                     continue
-                fill = low / m
-                empty = math.exp(-fill)
-                mean = (m - k) * empty + k * empty * (2 + fill)
-                within = sum(math.exp(-mean) * mean ** i / math.factorial(i) for i in range(slack + 1))
-                lost = max(0.0, 1 - within)
-                cost = (m - k) + k * (1 + high / m) + 4 * n * lost * lost
+                lost = _poisson_above(self._lost(sizes, wanted + slack, m, k), slack)
+                weak = low * math.exp(-low / m)  # segments of one hash, which many sets may share
+                cost = (m - k) + k * (1 + high / m) + WEAK_COST * weak + (4 + high / 16) * n * lost * lost
                 if best is None or cost < best[0]:
                     best = (cost, m, k, slack)
         return best[1:]
 
+    @staticmethod
+    def _lost(sizes: np.ndarray, units: np.ndarray, m: int, k: int) -> float:
+        """Units that a set loses to empty segments (and lone hashes of two-unit ones) on
+        average, at the size of the band that loses most."""
+        fill = sizes / max(1, m)
+        two = np.minimum(k, units / 2)
+        one = np.minimum(m, units - two) - two
+        return float(np.max(np.exp(-fill) * (np.maximum(one, 0) + two * (2 + fill))))
+
     def needed(self, size, g):
         """Units a set must index in band g (0: it can link with none but equal sets)."""
         most = np.minimum(size * self.q // self.p, self.high[g])
@@ -311,9 +336,7 @@ def cross_pairs(rows: DataFrame, sets: DataFrame, seen: dict, p: int, q: int, fo
     large bucket is compared in pairs of blocks, each within one task; pairs ruled out are
     never written."""
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
-    folded = F.expr(f"transform(sequence(0, {SKETCH // 64 - 1}), i -> aggregate(filter(bits, (x, k) -> k % {SKETCH // 64} = i), "
-                    "0L, (t, x) -> t ^ x))")
-    sketch = sets.select(F.col("cid").alias("c"), "size", folded.alias("bits"))
+    sketch = sets.select(F.col("cid").alias("c"), "size", "bits")
     dealt = (rows.join(small(sketch, seen["sketch_bytes"] or 0, 1), F.col("cid") == F.col("c"))
              .withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -322,18 +345,30 @@ def cross_pairs(rows: DataFrame, sets: DataFrame, seen: dict, p: int, q: int, fo
     keys = ["sig", "i", "j"]
 
     def work(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch | None:
-        column = lambda c: table.column(c).to_numpy()
-        bits = table.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(table.num_rows, -1)
-        a, b = likely_pairs(column("size"), bits, column("root"), column("side"), column("i") != column("j"), starts,
-                            np.append(starts[1:], table.num_rows), p, q, forest)
+        size, root, side, cid = (table.column(c).to_numpy() for c in ("size", "root", "side", "cid"))
+        cross = table.column("i").to_numpy() != table.column("j").to_numpy()
+        lists = table.column("bits").combine_chunks()
+        flat, at = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy()
+        at = at - at[0]
+        ends = np.append(starts[1:], table.num_rows)
+        width = np.minimum.reduceat(np.diff(at), starts)  # of a group, longer sketches folded to it
+        found = []
+        for w in np.unique(width):
+            of = np.flatnonzero(width == w)
+            at_row = np.concatenate([np.arange(starts[g], ends[g]) for g in of])
+            bits = np.stack([np.bitwise_xor.reduce(flat[at[r]: at[r + 1]].reshape(-1, w), axis=0) for r in at_row])
+            length = (ends - starts)[of]
+            last = np.cumsum(length)
+            a, b = likely_pairs(size[at_row], bits, root[at_row], side[at_row], cross[at_row], last - length, last, p, q, forest)
+            found.append((cid[at_row[a]], cid[at_row[b]]))
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
         if not len(a):
             return None
-        cid = column("cid")
-        pairs = np.unique(np.stack([np.minimum(cid[a], cid[b]), np.maximum(cid[a], cid[b])], axis=1), axis=0)
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return (dealt.repartition(*keys).sortWithinPartitions(*keys, "side")
-            .mapInArrow(lambda batches: grouped(batches, keys, work), "a long, b long").distinct())
+            .mapInArrow(lambda batches: grouped(batches, keys, work, BLOCK * 8), "a long, b long").distinct())
 
 
 def near_groups(docs: DataFrame, n: int, p: int, q: int, hot_rows: int = HOT_ROWS) -> DataFrame:
