@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .line_dedup import document_key
 from .source_mix import n_words
-from .tables import components, kept, small, tucked
+from .tables import components, kept, small, small_batches, tucked
 from .text import mix, set_fingerprint, shingles, slices, text_buffer, word_hashes
 from .vectors import grouped
 
@@ -404,6 +404,7 @@ def distinct_documents(docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
 
 def rooted_documents(docs: DataFrame, n: int, p: int, q: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(doc_id, key, n_shingles, root): rows of one component have one root (null: no set)."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("key", document_key())
     size = F.greatest(n_words() - (n - 1), F.least(n_words(), F.lit(1)))
     reach = Bands(p, q, {}, 1 << 40)

@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import small_batches
 from .text import slices
 
 RUN = 1024
@@ -234,6 +235,7 @@ def training_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_cha
 
 def identify(docs: DataFrame, samples: dict[str, list[int]]) -> DataFrame:
     """(doc_id, lang_pred, score) of every row of ``docs`` (doc_id, text)."""
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(CrossParser(samples))
     kind = docs.schema["doc_id"].dataType.simpleString()
 

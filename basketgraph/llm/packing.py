@@ -32,6 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import small_batches
+
 TIERS = (128, 256, 512, 1024)
 END_ID = 0
 POOL = 4096  # pieces that wait for a window, per tier
@@ -212,6 +214,8 @@ def pack_documents(docs: DataFrame, path: str, tiers: tuple[int, ...] = TIERS,
                    step_tokens: int = STEP_TOKENS) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
     tier (window size class) and step_group. ``path``: the tokenizer's file, on every worker."""
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(TaskContext.get().partitionId(), tiers, POOL, step_tokens)
         for batch in batches:

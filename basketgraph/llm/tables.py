@@ -24,6 +24,14 @@ def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= MAX_BROADCAST_BYTES else df
 
 
+def small_batches(spark, rows: int = 1000) -> None:
+    """Arrow batches of at most ``rows`` rows for tasks that read whole texts, so that a batch is a
+    few megabytes in the JVM and again in Python. A size that the user has set stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # Spark's default
+        spark.conf.set(key, str(rows))
+
+
 def tucked(docs: DataFrame, *core: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """``docs`` with its other columns in one struct, where their names clash with nothing,
     and a function that brings back the columns in their order."""

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .packing import _stable
-from .tables import kept, small
+from .tables import kept, small, small_batches
 
 PAIRS_HELD = 1_000_000
 MARK = "▁"
@@ -275,6 +275,7 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     model; files that the driver and every worker have."""
     import sentencepiece
 
+    small_batches(docs.sparkSession)
     bits_b = max(1, sentencepiece.SentencePieceProcessor(model_file=path_b).get_piece_size() - 1).bit_length()
     table, _ = kept(aligned(docs, path_a, path_b, bits_b).withColumn("row", F.monotonically_increasing_id()), "aligned")
     counts, seen = kept(pair_counts(table, bits_b), "pairs")

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import small_batches
 from .text import PUNCT, mix, slices, text_buffer, word_hashes
 
 BITS = 20
@@ -74,6 +75,7 @@ class Ftrl:
 def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, most_rows: int = MOST_ROWS,
           epochs: int = 5) -> np.ndarray:
     """Weights (2**bits buckets, then the intercept) from ``labels`` (doc_id, toxic)."""
+    small_batches(docs.sparkSession)
     chosen = (labels.where("doc_id is not null and toxic is not null").groupBy("doc_id")
               .agg(F.max("toxic").alias("label"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
@@ -90,17 +92,17 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, most_rows: int =
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["key", "label", "at"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for batch in batches:
-            at, labels = batch.column(2), batch.column(1).to_pylist()
-            offsets, values = at.offsets.to_numpy(), at.values.to_numpy()
-            rows += [(values[offsets[i]: offsets[i + 1]].copy(), y) for i, y in enumerate(labels)][: most_rows - len(rows)]
-        if not rows:
+        held = pa.Table.from_batches(list(batches), pa.schema([("key", pa.int64()), ("label", pa.float64()),
+                                                               ("at", pa.list_(pa.int32()))])).slice(0, most_rows).combine_chunks()
+        n = held.num_rows
+        if not n:
             return
-        model, order = Ftrl(1 << bits, l1=1.0 + len(rows) / ROWS_PER_L1), np.random.default_rng(0)
+        labels, lists = held.column(1).to_numpy(), held.column(2).chunk(0)
+        offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        model, order = Ftrl(1 << bits, l1=1.0 + n / ROWS_PER_L1), np.random.default_rng(0)
         for _ in range(epochs):
-            for i in order.permutation(len(rows)):
-                model.learn(*rows[i])
+            for i in order.permutation(n):
+                model.learn(values[offsets[i]: offsets[i + 1]], labels[i])
         w = model.weights()
         w[-1] = model.intercept()
         at = np.flatnonzero(w)
@@ -120,6 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, most_rows: int =
 
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """``docs`` (columns as they are, a string column text among them) with a column score."""
+    small_batches(docs.sparkSession)
     bits = (len(weights) - 1).bit_length() - 1
     table = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float64))
     at = docs.columns.index("text")
