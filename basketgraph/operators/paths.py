@@ -54,10 +54,6 @@ def _spread_to_products(f: DataFrame, f_rows: int, m: DataFrame) -> DataFrame:
              .agg(F.sum(F.col("fw") * F.col("w")).alias("w")))
 
 
-HOT_GROUP_KEY = "spark.basketgraph.hotGroupRows"
-DEFAULT_HOT_GROUP_ROWS = 10_000
-
-
 def _sum_by_customer(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
@@ -65,31 +61,41 @@ def _sum_by_customer(parts: list[DataFrame]) -> DataFrame:
     return out.groupBy("customer_id").agg(F.sum("v").alias("v"))
 
 
+def dearer_products(store: OrderStore, mine: DataFrame) -> tuple[DataFrame, int]:
+    """Products whose customer-by-customer expansion for ``mine`` (customer_id, product_id)
+    emits more rows than their product-by-product weights, and their number."""
+    widths = mine.groupBy("customer_id").agg(F.count(F.lit(1)).alias("width"))
+    held = (mine.join(widths, "customer_id").groupBy("product_id")
+            .agg(F.count(F.lit(1)).alias("holders"), F.sum("width").alias("own_rows")))
+    return pin(store.product_degrees().join(held, "product_id")
+               .where(F.col("holders") * F.col("customers") > F.col("pair_rows") + F.col("own_rows"))
+               .select("product_id"), "dearer-products")
+
+
 def pair_square_sums(store: OrderStore, customers: DataFrame, items: str,
                      hot_rows: int | None = None, wide: bool = False) -> DataFrame:
     """N2(customer_id, n2) = sum over other customers b of A(c, b)^2, for the given customers.
 
-    ||A(c, .)||^2 is split by product. Products with at most ``hot_rows`` customers (cold)
-    go through the customer-by-customer expansion, which emits at most hot_rows rows per
-    (customer, product) row. A hot product would emit all pairs of its customers, so its
-    share comes from the product-by-product weights B(h, x) = sum_b m(b, h) m(b, x)
-    instead, whose rows number at most (hot products) x (products):
+    ||A(c, .)||^2 is split by product, each on the cheaper of two ways by measured degrees.
+    The customer-by-customer expansion of a product emits (given customers that hold it) x
+    (all its customers) rows. The product-by-product weights B(h, x) = sum_b m(b, h) m(b, x)
+    of a product emit one row per product of each of its customers, and its join with the
+    given customers one row per product of theirs. A product for which the expansion is
+    dearer is hot. So the rows of both parts together stay below twice the sum over
+    customers of the square of their product count, however many customers hold a product:
 
         ||A(c, .)||^2 = sum_b A_cold(c, b)^2
                       + 2 sum_{h hot, p cold} m(c,h) m(c,p) B(h, p)
                       + sum_{h, h' hot} m(c,h) m(c,h') B(h, h')
         N2(c) = ||A(c, .)||^2 - sq(c)^2
     """
-    spark = store.spark
-    if hot_rows is None:
-        hot_rows = int(spark.conf.get(HOT_GROUP_KEY, str(DEFAULT_HOT_GROUP_ROWS)))
     m = store.customer_products(items)
     if wide:
         m = m.withColumn("w", F.col("w").cast(WIDE))
-    # At most |m| / hot_rows hot products; their count is measured before any broadcast.
-    hot, n_hot = store.hot_products(hot_rows)
-    hot_side = broadcast_if_small(hot, n_hot)
     mine, rows = pin(m.join(customers, "customer_id", "left_semi"), "n2-rows")
+    # Their count is measured before any broadcast.
+    hot, n_hot = dearer_products(store, mine) if hot_rows is None else store.hot_products(hot_rows)
+    hot_side = broadcast_if_small(hot, n_hot)
     mine_cold = mine.join(hot_side, "product_id", "left_anti")
     m_cold = m.join(hot_side, "product_id", "left_anti") if n_hot else m
     a_cold = (m_cold.withColumnRenamed("customer_id", "b").withColumnRenamed("w", "bw")

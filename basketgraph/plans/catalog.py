@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..layout import OLIST_LAYOUT
+from ..operators import cooccurrence as O
 from ..operators import graph as G
 from ..operators import loading as L
 from ..operators import paths as P
@@ -114,10 +115,28 @@ def _neigh(depth, mode, items, seeds=one_customer):
 
 
 def q_neighbour_recs_active_d2(spark, sf_dir):
-    """Depth-2 recommendations for every active customer, 500 seeds per job."""
+    """Depth-2 recommendations for every active customer, in one pass."""
     st = store_for(spark, sf_dir)
     active = S.active_customers(st, 1, None).select(F.col("customer_id").alias("seed_id"))
-    return P.neighbour_recs_batched(st, active, 2, "walk", "bag", K, seeds_per_job=500)
+    return O.neighbour_recs_all(st, active, 2, "bag", K)
+
+
+def q_neighbour_recs_simple_many_d3(spark, sf_dir):
+    """The pool's customers in jobs of five seeds (C7 over many seeds)."""
+    return P.neighbour_recs_batched(store_for(spark, sf_dir), all_customers(spark, sf_dir), 3, "simple", "merged", K,
+                                    seeds_per_job=5)
+
+
+def q_also_bought_all(spark, sf_dir):
+    return O.also_bought_all(store_for(spark, sf_dir), "any", "bag", K)
+
+
+def q_also_bought_different_order_all(spark, sf_dir):
+    return O.also_bought_all(store_for(spark, sf_dir), "different", "merged", K)
+
+
+def q_bought_together_all(spark, sf_dir):
+    return O.bought_together_all(store_for(spark, sf_dir), "bag", K)
 
 
 # Consecutive drawn pairs: one target per source, so the bidirectional search is the one.
@@ -307,6 +326,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
                                          items="merged", k=K),
     "also_bought_many": _recs(R.customers_also_bought, all_products, orders="any", items="bag", k=K),
     "bought_together": _recs(R.bought_together, one_product, items="bag", k=K),
+    "also_bought_all": q_also_bought_all,
+    "also_bought_different_order_all": q_also_bought_different_order_all,
+    "bought_together_all": q_bought_together_all,
     "bought_together_many": _recs(R.bought_together, all_products, items="bag", k=K),
     "city_category_recs": _recs(R.city_category_recs, one_customer, items="bag", k=K),
     "city_category_recs_many": _recs(R.city_category_recs, all_customers, items="bag", k=K),
@@ -320,6 +342,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "neighbour_recs_simple_d3": _neigh(3, "simple", "merged"),
     "neighbour_recs_simple_d4": _neigh(4, "simple", "merged"),
     "neighbour_recs_many_d3": _neigh(3, "walk", "bag", all_customers),
+    "neighbour_recs_simple_many_d3": q_neighbour_recs_simple_many_d3,
     "neighbour_recs_active_d2": q_neighbour_recs_active_d2,
     # C8-C9
     "customer_hops": q_customer_hops,

@@ -194,6 +194,18 @@ SIMPLE_D4 = ",\n".join([
     "counts AS (SELECT seed_id, p AS product_id, w AS freq FROM g3)"])
 
 
+SIMPLE_D3_COUNTED = ",\n".join([
+    M_MERGED,
+    "sq AS (SELECT c, SUM(w * w) AS sq FROM m GROUP BY c)",
+    G0, _to_customers("g0", "f1"), _to_products("f1", "g1"), _to_customers("g1", "t2"),
+    """f2 AS (
+    SELECT t.seed_id, t.c, t.w - COALESCE(f1.w, 0) * q.sq AS w
+    FROM t2 t JOIN sq q ON q.c = t.c
+    LEFT JOIN f1 ON f1.seed_id = t.seed_id AND f1.c = t.c)""",
+    _to_products("f2", "g2"),
+    "counts AS (SELECT seed_id, p AS product_id, w AS freq FROM g2)"])
+
+
 def _rec(seed_cte: str, body: str) -> str:
     return f"WITH {seed_cte},\n{ROWS},\n{body}\n{TOPK}"
 
@@ -203,6 +215,8 @@ ACTIVE_CUSTOMERS = """seed AS (
     FROM orders o JOIN lineitem i ON o.o_orderkey = i.l_orderkey
     GROUP BY o.o_custkey HAVING COUNT(i.l_partkey) > 1)"""
 
+EVERY_PRODUCT = "seed AS (SELECT p_partkey AS seed_id FROM part)"
+
 PAIRS = CUSTOMER_POOL + """,
 pairs AS (
     SELECT source_id, target_id FROM (
@@ -301,6 +315,9 @@ ORACLE_SQL: dict[str, str] = {
     "also_bought_different_order": _rec(ONE_PRODUCT, ALSO_BOUGHT_DIFFERENT),
     "also_bought_many": _rec(ALL_PRODUCTS, ALSO_BOUGHT_ANY),
     "bought_together": _rec(ONE_PRODUCT, BOUGHT_TOGETHER),
+    "also_bought_all": _rec(EVERY_PRODUCT, ALSO_BOUGHT_ANY),
+    "also_bought_different_order_all": _rec(EVERY_PRODUCT, ALSO_BOUGHT_DIFFERENT),
+    "bought_together_all": _rec(EVERY_PRODUCT, BOUGHT_TOGETHER),
     "bought_together_many": _rec(ALL_PRODUCTS, BOUGHT_TOGETHER),
     "city_category_recs": _rec(ONE_CUSTOMER, CITY_CATEGORY),
     "city_category_recs_many": _rec(ALL_CUSTOMERS, CITY_CATEGORY),
@@ -313,6 +330,7 @@ ORACLE_SQL: dict[str, str] = {
     "neighbour_recs_simple_d3": _rec(ONE_CUSTOMER, SIMPLE_D3),
     "neighbour_recs_simple_d4": _rec(ONE_CUSTOMER, SIMPLE_D4),
     "neighbour_recs_many_d3": _rec(ALL_CUSTOMERS, WALK_D3_COUNTED),
+    "neighbour_recs_simple_many_d3": _rec(ALL_CUSTOMERS, SIMPLE_D3_COUNTED),
     "neighbour_recs_active_d2": _rec(ACTIVE_CUSTOMERS, WALK_D2),
     "customer_hops": _hops_sql(4),
     "shortest_path_length": _path_length_sql(10),

@@ -230,6 +230,25 @@ class OrderStore:
             self._memo["degrees"] = {r.k: int(r.d or 0) for r in rows}
         return self._memo["degrees"]
 
+    def counted(self, key: str, build) -> tuple[DataFrame, int]:
+        """A written table and its row count (``build`` gives both), made on first use."""
+        if key not in self._memo:
+            self._memo[key] = build()
+        return self._memo[key]
+
+    def n_products(self) -> int:
+        return self.counted("n-products", lambda: (self.products, self.products.count()))[1]
+
+    def product_degrees(self) -> DataFrame:
+        """(product_id, customers, pair_rows), kept: a product's customers, and how many products
+        they have in all, which is what listing the product's co-occurrences costs."""
+        def build():
+            cp = self.customer_product_weights().select("customer_id", "product_id")
+            widths = cp.groupBy("customer_id").agg(F.count(F.lit(1)).alias("width"))
+            return (cp.join(widths, "customer_id").groupBy("product_id")
+                    .agg(F.count(F.lit(1)).alias("customers"), F.sum("width").alias("pair_rows")))
+        return self.derived("product-degrees", build)
+
     def hot_products(self, hot_rows: int) -> tuple[DataFrame, int]:
         """Products bought by more than ``hot_rows`` customers, kept with their count."""
         key = f"hot-products-{hot_rows}"
