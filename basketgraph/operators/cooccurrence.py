@@ -65,7 +65,7 @@ def product_pairs(store: OrderStore, by: str = "customer", items: str = "bag",
         weights = store.customer_products(items) if by == "customer" else store.order_products(items)
         return pin(pair_weights(weights, f"{by}_id", block_rows), f"pairs-{by}-{items}")
 
-    return store.counted(f"pairs-{by}-{items}", build)
+    return store.kept_object(f"pairs-{by}-{items}", build)
 
 
 def both_ways(pairs: DataFrame, a: str = "seed_id", b: str = "product_id", w: str = "freq") -> DataFrame:

@@ -141,7 +141,9 @@ def path_counts(store: OrderStore, seeds: DataFrame, depth: int, mode: str = "wa
     m = store.customer_products(items)
     if wide:
         m = m.withColumn("w", F.col("w").cast(WIDE))
-    g = m.join(s, m.customer_id == s.seed_id).select("seed_id", "product_id", "w")
+    weight = F.col("w").cast(WIDE) if wide else F.col("w")
+    g = (store.weights_of(s, "seed_id", "customer_id", "customer_id", items, seed_rows)
+         .join(s, F.col("customer_id") == F.col("seed_id")).select("seed_id", "product_id", weight.alias("w")))
     bound = None if seed_rows is None else seed_rows * store.degree_bounds()["products_per_customer"]
     if bound is not None and bound <= max_broadcast_rows(store.spark):
         g_rows = bound          # proven small: used as is, no job
@@ -149,7 +151,10 @@ def path_counts(store: OrderStore, seeds: DataFrame, depth: int, mode: str = "wa
         g, g_rows = pin(g, "paths-g0")
     fs: list[DataFrame] = []
     for hop in range(1, depth):
-        t = _spread_to_customers(g, g_rows, m)
+        holders = m
+        if hop == 1:  # a few seeds' own products are looked up
+            holders = store.weights_of(g, "product_id", "customer_id", "product_id", items, g_rows).withColumn("w", weight)
+        t = _spread_to_customers(g, g_rows, holders)
         if mode == "simple" and hop >= 2:
             sq = store.self_weight(items, wide)
             prev = fs[-1].withColumnRenamed("w", "prev")

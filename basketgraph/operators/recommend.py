@@ -46,12 +46,12 @@ def _also_bought_counts(store: OrderStore, seeds: DataFrame, items: str,
                         seed_rows: int | None = None) -> DataFrame:
     """(seed_id, product_id, freq): pairs of items of one customer, the first of the seed
     product, the second of another product, in any two orders (the same one included)."""
-    m = store.customer_products(items)
+    m = store.weights_of(seeds, "seed_id", "customer_id", "product_id", items, seed_rows)
+    n_buyers = _bound(store, seed_rows, "customers_per_product")
     buyers = bounded(
-        m.join(seeds, m.product_id == seeds.seed_id)
-         .select("seed_id", "customer_id", F.col("w").alias("w1")),
-        _bound(store, seed_rows, "customers_per_product"))
-    return (buyers.join(m, "customer_id")
+        m.join(seeds, F.col("product_id") == F.col("seed_id"))
+         .select("seed_id", "customer_id", F.col("w").alias("w1")), n_buyers)
+    return (buyers.join(store.weights_of(buyers, "customer_id", "customer_id", "customer_id", items, n_buyers), "customer_id")
             .where(F.col("product_id") != F.col("seed_id"))
             .groupBy("seed_id", "product_id")
             .agg(F.sum(F.col("w1") * F.col("w")).alias("freq")))
@@ -60,12 +60,12 @@ def _also_bought_counts(store: OrderStore, seeds: DataFrame, items: str,
 def _together_counts(store: OrderStore, seeds: DataFrame, items: str,
                      seed_rows: int | None = None) -> DataFrame:
     """(seed_id, product_id, freq): pairs of items in the same order."""
-    n = store.order_products(items)
+    n = store.weights_of(seeds, "seed_id", "order_id", "product_id", items, seed_rows)
+    n_baskets = _bound(store, seed_rows, "orders_per_product")
     baskets = bounded(
-        n.join(seeds, n.product_id == seeds.seed_id)
-         .select("seed_id", "order_id", F.col("w").alias("w1")),
-        _bound(store, seed_rows, "orders_per_product"))
-    return (baskets.join(n, "order_id")
+        n.join(seeds, F.col("product_id") == F.col("seed_id"))
+         .select("seed_id", "order_id", F.col("w").alias("w1")), n_baskets)
+    return (baskets.join(store.weights_of(baskets, "order_id", "order_id", "order_id", items, n_baskets), "order_id")
             .where(F.col("product_id") != F.col("seed_id"))
             .groupBy("seed_id", "product_id")
             .agg(F.sum(F.col("w1") * F.col("w")).alias("freq")))
@@ -106,8 +106,8 @@ def own_products(store: OrderStore, seeds: DataFrame, items: str = "bag",
     """The seed customer's own products with their item counts."""
     check_items_mode(items)
     s = seed_frame(seeds, seed_rows)
-    m = store.customer_products(items)
-    own = (m.join(s, m.customer_id == s.seed_id)
+    m = store.weights_of(s, "seed_id", "customer_id", "customer_id", items, seed_rows)
+    own = (m.join(s, F.col("customer_id") == F.col("seed_id"))
             .select("seed_id", "product_id", F.col("w").alias("freq")))
     return _finish(own, k)
 
@@ -120,29 +120,38 @@ def city_category_recs(store: OrderStore, seeds: DataFrame, items: str = "bag",
     Computed as (city, product) totals minus the seed's own count: no customer-by-
     customer join, and one total per city however many seeds live there. A NULL city or
     category matches nothing.
+
+    Customers keyed by person may have several cities. Persons with the same cities form one
+    place; totals are by place, and a seed meets every place that shares a city with its own,
+    so another person counts once however many cities are shared.
     """
     check_items_mode(items)
     s = seed_frame(seeds, seed_rows)
     m = store.customer_products(items)
-    cust = store.customers.select("customer_id", "city").where(F.col("city").isNotNull())
-    seed_city = bounded(
-        s.join(cust, s.seed_id == cust.customer_id).select("seed_id", "city"), seed_rows)
-    # Customers of the seeds' cities only, then (city, product) totals.
-    city_customers = bounded(
-        cust.join(seed_city.select("city").distinct(), "city", "left_semi"),
-        _bound(store, seed_rows, "customers_per_city"))
-    totals = (m.join(city_customers, "customer_id")
-               .groupBy("city", "product_id").agg(F.sum("w").alias("total")))
-    own = (m.join(s, m.customer_id == s.seed_id)
-            .select("seed_id", "product_id", F.col("w").alias("own")))
+    homes, spans = store.places()
+    seed_place = bounded(
+        s.join(homes, s.seed_id == homes.customer_id).select("seed_id", "place"), seed_rows)
+    if spans is not None:
+        near = spans.select(F.col("place").alias("own_place"), "city").join(spans, "city").select("own_place", "place").distinct()
+        seed_place = measured(seed_place.withColumnRenamed("place", "own_place").join(near, "own_place")
+                              .select("seed_id", "place"))
+    # Customers of the seeds' places only, then (place, product) totals.
+    place_customers = bounded(
+        homes.join(seed_place.select("place").distinct(), "place", "left_semi"),
+        _bound(store, seed_rows, "customers_per_city") if spans is None else None)
+    totals = (m.join(place_customers, "customer_id")
+               .groupBy("place", "product_id").agg(F.sum("w").alias("total")))
+    own = (store.weights_of(s, "seed_id", "customer_id", "customer_id", items, seed_rows)
+           .join(s, F.col("customer_id") == F.col("seed_id"))
+           .select("seed_id", "product_id", F.col("w").alias("own")))
     cats = store.products.select("product_id", "category").where(F.col("category").isNotNull())
-    # A seed meets only the totals of its city's products in its own categories.
-    wanted = bounded(own.join(cats, "product_id").select("seed_id", "category").distinct()
-                        .join(seed_city, "seed_id"),
-                     _bound(store, seed_rows, "products_per_customer"))
-    recs = (totals.join(cats, "product_id")
-            .join(wanted, ["city", "category"])
-            .join(own, ["seed_id", "product_id"], "left")
+    # A seed meets only the totals of its places' products in its own categories.
+    wanted = own.join(cats, "product_id").select("seed_id", "category").distinct().join(seed_place, "seed_id")
+    wanted = bounded(wanted, _bound(store, seed_rows, "products_per_customer") if spans is None else None)
+    recs = totals.join(cats, "product_id").join(wanted, ["place", "category"])
+    if spans is not None:
+        recs = recs.groupBy("seed_id", "product_id").agg(F.sum("total").alias("total"))
+    recs = (recs.join(own, ["seed_id", "product_id"], "left")
             .select("seed_id", "product_id",
                     (F.col("total") - F.coalesce(F.col("own"), F.lit(0))).alias("freq"))
             .where(F.col("freq") > 0))

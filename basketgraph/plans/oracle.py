@@ -386,11 +386,26 @@ WITH counts AS (
     UNION ALL SELECT 'orders', COUNT(*),
         (SELECT COUNT(DISTINCT o_orderkey) FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01')
         FROM orders
-    UNION ALL SELECT 'items', COUNT(*), COUNT(*) FROM lineitem)
+    UNION ALL SELECT 'items', COUNT(*), COUNT(*) FROM lineitem
+    UNION ALL SELECT 'keyed items', COUNT(*),
+        (SELECT COUNT(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)) FROM lineitem)
 SELECT table_name, CAST(rows_read AS BIGINT) AS rows_read, CAST(rows_kept AS BIGINT) AS rows_kept,
        CAST(rows_read - rows_kept AS BIGINT) AS rows_skipped, 'ok' AS status,
        CAST(NULL AS VARCHAR) AS error
 FROM counts""",
+    "stored_load": """
+WITH counts AS (
+    SELECT 'customers' AS table_name, COUNT(*) AS r, COUNT(*) FILTER (WHERE NOT coalesce(c_nationkey % 2 = 0, FALSE)) AS k FROM customer
+    UNION ALL SELECT 'products', COUNT(*), COUNT(*) FROM part
+    UNION ALL SELECT 'sellers', COUNT(*), COUNT(*) FROM supplier
+    UNION ALL SELECT 'orders', COUNT(*), COUNT(*) FILTER (WHERE o_orderdate >= TIMESTAMP '1997-01-01') FROM orders
+    UNION ALL SELECT 'items', COUNT(*), COUNT(*) FROM lineitem)
+SELECT table_name, CAST(r AS BIGINT) AS rows_read, CAST(k AS BIGINT) AS rows_kept, CAST(r - k AS BIGINT) AS rows_skipped,
+       'ok' AS status, CAST(NULL AS VARCHAR) AS error FROM counts""",
+    "stored_orders": """
+SELECT o_orderkey AS order_id, o_custkey AS customer_id,
+       CASE WHEN o_orderdate < TIMESTAMP '1997-01-01' THEN 'stored' ELSE o_orderstatus END AS status,
+       o_orderdate AS purchased_at FROM orders""",
     "check_unique": """
 SELECT l_orderkey AS order_id, l_linenumber AS line_number, COUNT(*) AS n
 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING COUNT(*) > 1""",

@@ -20,9 +20,11 @@ def _entity_path(root: str, stem: str, fmt: str) -> str:
 
 
 def read_entity(spark: SparkSession, root: str, entity: str, layout: dict | None = None,
-                fmt: str = "parquet") -> DataFrame:
+                fmt: str = "parquet", multi_line: bool = False) -> DataFrame:
     """One entity as a DataFrame with logical column names.
 
+    ``multi_line``: quoted values may hold line breaks. Such a file can't be split, so it is one
+    task a file; without it a quoted line break fails the read.
     ``fmt="csv"`` reads a headered CSV (every column as text, no inference, malformed rows
     fail the read) and casts the typed columns; ``fmt="parquet"`` keeps the stored types.
     A missing folder or file fails with Spark's path-not-found error.
@@ -33,7 +35,7 @@ def read_entity(spark: SparkSession, root: str, entity: str, layout: dict | None
     path = _entity_path(root, stem, fmt)
     if fmt == "csv":
         raw = (spark.read.option("header", True).option("mode", "FAILFAST")
-               .option("escape", '"').option("multiLine", False).csv(path))
+               .option("escape", '"').option("multiLine", multi_line).csv(path))
     elif fmt == "parquet":
         raw = spark.read.parquet(path)
     else:

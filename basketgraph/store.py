@@ -23,6 +23,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.lookup import ROWS_PER_FILE, looked_up, write_sorted
 from .functions.skew import split_hot_join
 from .sources.entities import read_entities
 
@@ -40,7 +41,7 @@ def rekey_customers(customers: DataFrame, orders: DataFrame, key: str,
 
     Orders take the new key of their customer (orders of unknown customers drop out, as
     they would at resolution); customers become one row per new key, with the smallest
-    city when the merged rows disagree.
+    city when the merged rows disagree. ``OrderStore.places`` holds all cities of a key.
     """
     mapping = customers.select(F.col("customer_id").alias("_cid"), F.col(key).alias("_key"))
     rekeyed = split_hot_join(orders.withColumnRenamed("customer_id", "_cid"), mapping, "_cid",
@@ -63,7 +64,10 @@ class OrderStore:
     def __init__(self, customers: DataFrame, products: DataFrame, sellers: DataFrame,
                  orders: DataFrame, items: DataFrame, resolve: bool = True,
                  hot_rows: int | None = None, customer_key: str = "customer_id"):
+        self.cities = None
         if customer_key != "customer_id":
+            self.cities = (customers.select(F.col(customer_key).alias("customer_id"), "city")
+                           .where("customer_id is not null and city is not null").distinct())
             customers, orders = rekey_customers(customers, orders, customer_key, hot_rows)
         # Ids are unique in a store: of rows with one id the first (smallest) stays.
         self.customers = unique_rows(customers, "customer_id")
@@ -98,10 +102,13 @@ class OrderStore:
             self._keep(key, build())
         return self._memo[key]
 
-    def materialize(self, path: str | None = None, graph: bool = False) -> "OrderStore":
-        """Write the derived tables (resolved orders, weights, self-weights, and with
-        ``graph=True`` the edge tables of the distance queries) as Parquet and return a
-        store that reads them: the counterpart of loading a database once.
+    def materialize(self, path: str | None = None, graph: bool = False,
+                    rows_per_file: int = ROWS_PER_FILE) -> "OrderStore":
+        """Write the entities and the derived tables (resolved orders, weights, self-weights,
+        and with ``graph=True`` the edge tables of the distance queries) as Parquet and return
+        a store that reads them: the counterpart of loading a database once. The weights are
+        written twice, sorted by either key, which is what an index would give: a few seeds
+        are looked up in the copy sorted by their key (``weights_of``).
 
         The written store survives lost executors and new sessions without recomputing
         anything; ``path`` defaults to a fresh folder under spark.checkpoint.dir.
@@ -109,8 +116,16 @@ class OrderStore:
         from .session import scratch_path
 
         path = (path or scratch_path(self.spark, "store")).rstrip("/")
-        tables = {"orders": self.known_orders(), "op": self.order_product_weights(),
-                  "cp": self.customer_product_weights(),
+        cp, op = self.customer_product_weights(), self.order_product_weights()
+        n_cp, n_op = cp.count(), op.count()
+        for name, df, rows, keys in (("cp", cp, n_cp, ("customer_id", "product_id")),
+                                     ("cp-product_id", cp, n_cp, ("product_id", "customer_id")),
+                                     ("op", op, n_op, ("order_id", "product_id")),
+                                     ("op-product_id", op, n_op, ("product_id", "order_id"))):
+            write_sorted(df, rows, f"{path}/{name}", *keys, rows_per_file=rows_per_file)
+        entities = {"customers": self.customers, "products": self.products, "sellers": self.sellers,
+                    "all-orders": self.orders}
+        tables = {**entities, "orders": self.known_orders(),
                   "sq": self.self_weight("bag").join(self.self_weight("merged")
                                                       .withColumnRenamed("sq", "sq_merged"),
                                                       "customer_id")
@@ -121,19 +136,36 @@ class OrderStore:
             tables["customer-product-edges"] = customer_product_edges(self)
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{path}/{name}")
-        out = OrderStore(self.customers, self.products, self.sellers, self.orders,
-                         self.items_raw, self.resolve, self.hot_rows)
-        for name in tables:
-            out._memo[name] = self.spark.read.parquet(f"{path}/{name}")
+        out = OrderStore.__new__(OrderStore)
+        out.items_raw, out.resolve, out.hot_rows, out._memo = self.items_raw, self.resolve, self.hot_rows, {}
+        out.cities = self.cities
+        read = self.spark.read.parquet
+        out.customers, out.products, out.sellers, out.orders = (read(f"{path}/{name}") for name in entities)
+        for name in ("cp", "cp-product_id", "op", "op-product_id", *tables):
+            if name not in entities:
+                out._memo[name] = read(f"{path}/{name}")
         return out
 
     def unpersist(self) -> None:
         for v in self._memo.values():
             df = v[0] if isinstance(v, tuple) else v
-            if isinstance(df, DataFrame):
+            if hasattr(df, "unpersist"):
                 df.unpersist()
         self._memo.clear()
 
+    def places(self) -> tuple[DataFrame, DataFrame | None]:
+        """((customer_id, place), (place, city)): customers with the same set of cities share a
+        place. Customers of one city each have it as their place, and the second is None."""
+        if self.cities is None:
+            return (self.customers.where(F.col("city").isNotNull()).select("customer_id", F.col("city").alias("place")), None)
+
+        def build():
+            sets = self.cities.groupBy("customer_id").agg(F.sort_array(F.collect_set("city")).alias("cities"))
+            return sets.withColumn("place", F.xxhash64("cities"))
+        sets = self.derived("places", build)
+        spans = sets.groupBy("place").agg(F.first("cities").alias("cities")).select("place", F.explode("cities").alias("city"))
+        return sets.select("customer_id", "place"), spans
+
     # -- resolved relational tables ---------------------------------------------------
 
     def known_orders(self) -> DataFrame:
@@ -196,6 +228,19 @@ class OrderStore:
         return self.order_product_weights().select(
             "order_id", "product_id", F.col(f"w_{items}").alias("w"))
 
+    def weights_of(self, keys: DataFrame, key: str, group: str, column: str, items: str = "bag",
+                   bound: int | None = None) -> DataFrame:
+        """The rows of m (``group="customer_id"``) or n (``group="order_id"``) that ``keys`` may
+        meet by ``column``: in a materialised store a few keys are pushed to the copy sorted by
+        that column, otherwise all rows come back."""
+        check_items_mode(items)
+        base = "cp" if group == "customer_id" else "op"
+        sorted_copy = self._memo.get(base if column == group else f"{base}-{column}")
+        if f"{base}-product_id" not in self._memo or sorted_copy is None:
+            return self.customer_products(items) if base == "cp" else self.order_products(items)
+        weights = sorted_copy.select(group, "product_id", F.col(f"w_{items}").alias("w"))
+        return looked_up(weights, column, keys, key, bound)
+
     def self_weight(self, items: str = "bag", wide: bool = False) -> DataFrame:
         """sq(customer_id, sq) = sum over products of m(c,p)^2: the weight of the walks
         c - p - c that return to the same customer. ``wide``: decimals, not kept longs."""
@@ -230,14 +275,14 @@ class OrderStore:
             self._memo["degrees"] = {r.k: int(r.d or 0) for r in rows}
         return self._memo["degrees"]
 
-    def counted(self, key: str, build) -> tuple[DataFrame, int]:
-        """A written table and its row count (``build`` gives both), made on first use."""
+    def kept_object(self, key: str, build):
+        """Anything built once for this store, such as a written table and its row count."""
         if key not in self._memo:
             self._memo[key] = build()
         return self._memo[key]
 
     def n_products(self) -> int:
-        return self.counted("n-products", lambda: (self.products, self.products.count()))[1]
+        return self.kept_object("n-products", lambda: (self.products, self.products.count()))[1]
 
     def product_degrees(self) -> DataFrame:
         """(product_id, customers, pair_rows), kept: a product's customers, and how many products
