@@ -1,7 +1,7 @@
 """Operator 9: mix sources to target weights by Efraimidis-Spirakis sampling.
 
-Every document gets an exponential key ``-ln(u) / quality`` with u drawn from its id, so
-reruns agree and better documents tend to come first. A source whose target is k times its
+Every document gets an exponential key ``-ln(u) / quality`` with u drawn from its id and text,
+so reruns agree and better documents tend to come first. A source whose target is k times its
 size is taken k times whole (complete epochs); the rest of its budget goes to documents in
 key order until their words fill it, and the document that crosses the budget gives only
 the words still missing.
@@ -12,9 +12,10 @@ only that bucket is sorted. What remains per source is one row: its epochs, the
 cut and the words due there. Documents are never shuffled by source.
 
 Defined cases: a null source is a source of its own, sorted last; a null or empty text has
-size 0 and nothing taken; documents with the same key (repeated rows) share the words at
-the cut evenly, rounded down; a source without words has target 0; an empty table gives an
-empty result. Sources' totals (one row a source) are ranked in one task.
+size 0 and nothing taken; null ids are drawn by their text; documents with the same key (repeated
+rows) are filled one after the other at the cut, so the last of them is the one cut; a source
+without words has target 0; an empty table gives an empty result. Sources' totals (one row a
+source) are ranked in one task.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import kept, small
+from .tables import kept, small, tucked
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 4096
@@ -33,9 +34,10 @@ def n_words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def draw_key(doc_id: str, quality: Column) -> Column:
-    """Exponential key of rate ``quality``; u in (0, 1) from 52 bits of the id's md5."""
-    bits = F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), 1, 13), 16, 10)
+def draw_key(quality: Column) -> Column:
+    """Exponential key of rate ``quality``; u in (0, 1) from 52 bits of the md5 of id and text."""
+    drawn = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("text", F.lit(""))))
+    bits = F.conv(F.substring(F.md5(drawn), 1, 13), 16, 10)
     return -F.log((bits.cast("long") + F.lit(0.5)) / F.lit(2.0 ** 52)) / quality
 
 
@@ -75,9 +77,9 @@ def mix_plan(sized: DataFrame, weights: DataFrame | None = None,
     """One row a source: what of its documents the mix takes, and the number of sources.
 
     ``sized`` has source, size and key and is read three times: pass a written table.
-    Result: source, source_size, target, epochs, cut_key, cut_words. A document is taken
-    ``epochs`` times, once more if its key is below cut_key, and gives cut_words (at most
-    its size) if its key is cut_key.
+    Result: source, source_size, target, epochs, cut_key, rest. A document is taken ``epochs``
+    times, once more if its key is below cut_key; those with the cut_key itself share the
+    ``rest`` words (``shared_out``).
     """
     totals, seen = kept(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
     targets = source_targets(totals, weights, most)
@@ -98,36 +100,52 @@ def mix_plan(sized: DataFrame, weights: DataFrame | None = None,
     edge, _ = kept(edge, "cut-buckets")
     at = (sized.withColumn("b", bucket)
           .join(small(edge, seen["rows"], 40), F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("bucket")))
-          .groupBy("s", "below", "budget", "key").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
+          .groupBy("s", "below", "budget", "key").agg(F.sum("size").alias("words"))
           .withColumn("upto", F.col("below") + F.sum("words").over(Window.partitionBy("s").orderBy("key")))
           .where("upto - words < budget and upto >= budget")
-          .select("s", F.col("key").alias("cut_key"),
-                  F.floor((F.col("budget") - (F.col("upto") - F.col("words"))) / F.col("n")).alias("cut_words")))
+          .select("s", F.col("key").alias("cut_key"), (F.col("budget") - (F.col("upto") - F.col("words"))).alias("rest")))
     plan = (targets.join(at, F.col("source").eqNullSafe(F.col("s")), "left")
-            .select("source", "source_size", "target", "epochs",
-                    F.coalesce("cut_key", F.lit(-1.0)).alias("cut_key"),
-                    F.coalesce("cut_words", F.lit(0)).cast("long").alias("cut_words")))
+            .select("source", "source_size", "target", "epochs", F.coalesce("cut_key", F.lit(-1.0)).alias("cut_key"),
+                    F.coalesce("rest", F.lit(0)).cast("long").alias("rest")))
     return plan, seen["rows"]
 
 
+def shared_out(ties: DataFrame) -> DataFrame:
+    """(c_row, cut_words): the documents at a cut, filled one after the other. ``ties``: source,
+    row (a number of its own), size, rest; a written table.
+
+    Copies of one document are numbered within each stretch of rows and shifted by the words of
+    the stretches before, so that copies by the million are not one task's either."""
+    rows = ties.select(F.col("source").alias("s"), "row", F.shiftright("row", 33).alias("slot"), "size", "rest")
+    here = Window.partitionBy("s", "slot").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("b_s").orderBy("b_slot").rowsBetween(Window.unboundedPreceding, -1)
+    stretches = (rows.groupBy(F.col("s").alias("b_s"), F.col("slot").alias("b_slot")).agg(F.sum("size").alias("words"))
+                 .withColumn("earlier", F.coalesce(F.sum("words").over(before), F.lit(0))).drop("words"))
+    left = F.col("rest") - F.col("earlier") - F.coalesce(F.sum("size").over(here), F.lit(0))
+    return (rows.join(stretches, F.col("s").eqNullSafe(F.col("b_s")) & (F.col("slot") == F.col("b_slot")))
+            .select(F.col("row").alias("c_row"), F.greatest(F.lit(0), F.least("size", left)).cast("long").alias("cut_words")))
+
+
 def taken_words() -> Column:
-    """Words the mix takes of a document, from its size and key and its source's plan."""
-    return (F.col("epochs") * F.col("size")
-            + F.when(F.col("key") < F.col("cut_key"), F.col("size"))
-            .when(F.col("key") == F.col("cut_key"), F.least("size", "cut_words")).otherwise(0)).cast("long")
+    """Words the mix takes of a document, from its size, key and cut and its source's plan."""
+    return (F.col("epochs") * F.col("size") + F.when(F.col("key") < F.col("cut_key"), F.col("size"))
+            .otherwise(F.coalesce("cut_words", F.lit(0)))).cast("long")
 
 
-def sized_documents(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
-    """(doc_id, source, size, key). ``quality`` (doc_id, weight > 0) has at most one row a
-    document; documents without one weigh 1."""
-    sized = docs.select("doc_id", "source", n_words().alias("size"))
+def drawn(docs: DataFrame, quality: DataFrame | None) -> DataFrame:
+    """``docs`` with row, a number of its own, and key. ``quality`` (doc_id, weight > 0) has at
+    most one row a document; documents without one weigh 1."""
+    out = docs.withColumn("row", F.monotonically_increasing_id())
     if quality is None:
-        weight = F.lit(1.0)
-    else:
-        sized = sized.join(quality.select(F.col("doc_id").alias("q_id"), "weight"),
-                           F.col("doc_id") == F.col("q_id"), "left").drop("q_id")
-        weight = F.coalesce(F.col("weight"), F.lit(1.0))
-    return sized.withColumn("key", draw_key("doc_id", weight)).select("doc_id", "source", "size", "key")
+        return out.withColumn("key", draw_key(F.lit(1.0)))
+    out = out.join(quality.select(F.col("doc_id").alias("q_id"), F.col("weight").alias("q_weight")),
+                   F.col("doc_id") == F.col("q_id"), "left")
+    return out.withColumn("key", draw_key(F.coalesce("q_weight", F.lit(1.0)))).drop("q_id", "q_weight")
+
+
+def sized_documents(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
+    """(doc_id, source, size, key, row) of ``docs`` (doc_id, text, source)."""
+    return drawn(docs, quality).select("doc_id", "source", n_words().alias("size"), "key", "row")
 
 
 def label_quality(labels: DataFrame) -> DataFrame:
@@ -139,10 +157,12 @@ def label_quality(labels: DataFrame) -> DataFrame:
 def mix_sources(docs: DataFrame, quality: DataFrame | None = None, weights: DataFrame | None = None,
                 most: int = MOST_EPOCHS) -> DataFrame:
     """One row a document: doc_id, size, source_size, target, taken."""
-    sized, _ = kept(sized_documents(docs, quality), "sized")
+    sized, _ = kept(sized_documents(docs.select("doc_id", "text", "source"), quality), "sized")
     plan, n = mix_plan(sized, weights, most)
     p = small(plan.withColumnRenamed("source", "p_source"), n, 64)
-    return (sized.join(p, F.col("source").eqNullSafe(F.col("p_source")))
+    planned = sized.join(p, F.col("source").eqNullSafe(F.col("p_source")))
+    ties, n_ties = kept(planned.where("key = cut_key").select("source", "row", "size", "rest"), "cut-rows")
+    return (planned.join(small(shared_out(ties), n_ties["rows"], 24), F.col("row") == F.col("c_row"), "left")
             .select("doc_id", "size", "source_size", "target", taken_words().alias("taken")))
 
 
@@ -150,31 +170,28 @@ def mixed_documents(docs: DataFrame, quality: DataFrame | None = None,
                     weights: DataFrame | None = None, most: int = MOST_EPOCHS) -> DataFrame:
     """The mix itself: ``docs`` rows (needs doc_id, text, source, n_chars) once for every
     time they are taken; the document at a cut ends after the last word due. Documents
-    without words add nothing to a budget and go through once."""
-    sized, _ = kept(sized_documents(docs, quality), "sized")
+    without words add nothing to a budget and go through once. Other columns, whatever their
+    names, come along."""
+    plain, restored = tucked(docs, "doc_id", "text", "source", "n_chars")
+    sized, _ = kept(sized_documents(plain, quality), "sized")
     plan, n = mix_plan(sized, weights, most)
-    p = small(plan.select(F.col("source").alias("p_source"), "epochs", "cut_key", "cut_words"), n, 64)
-    keyed = docs.select(*docs.columns)
-    if quality is None:
-        weight = F.lit(1.0)
-    else:
-        keyed = keyed.join(quality.select(F.col("doc_id").alias("q_id"), F.col("weight").alias("q_weight")),
-                           F.col("doc_id") == F.col("q_id"), "left")
-        weight = F.coalesce(F.col("q_weight"), F.lit(1.0))
-    keyed = keyed.withColumn("p_key", draw_key("doc_id", weight)).join(p, F.col("source").eqNullSafe(F.col("p_source")))
+    p = small(plan.select(F.col("source").alias("p_source"), "epochs", "cut_key", "rest"), n, 64)
+    planned = drawn(plain, quality).join(p, F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source")
+    some = F.coalesce(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    copies = (F.col("epochs") + F.when(F.col("key") < F.col("cut_key"), 1).otherwise(0)).cast("int")
+    whole = F.array_repeat("text", F.when(some, copies).otherwise(1))
+    # the documents at the cuts, one a source and its copies, are written: their numbers stay
+    ties, n_ties = kept(planned.where("key = cut_key").withColumn("size", n_words()), "cut-documents")
+    at_cut = ties.join(small(shared_out(ties), n_ties["rows"], 24), F.col("row") == F.col("c_row"))
     # each piece is one word with the white space before it
     pieces = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    at_cut = at_cut.withColumn("pieces", pieces)
     cut = F.array_join(F.expr("slice(pieces, 1, cast(cut_words as int))"), "")
-    copies = (F.col("epochs") + F.when(F.col("p_key") < F.col("cut_key"), 1).otherwise(0)).cast("int")
-    some = F.coalesce(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
-    copies = F.when(some, copies).otherwise(1)
-    at_cut = some & (F.col("p_key") == F.col("cut_key")) & (F.col("cut_words") > 0)
-    out = keyed.withColumn("pieces", F.when(at_cut, pieces))
-    texts = F.when(at_cut, F.concat(F.array_repeat("text", copies), F.array(cut))
-                   ).otherwise(F.array_repeat("text", copies))
-    out = out.withColumn("mixed_text", F.explode(texts))
+    texts = F.when(some & (F.col("cut_words") > 0), F.concat(whole, F.array(cut))).otherwise(whole)
     changed = {"text": F.col("mixed_text"), "n_chars": F.length("mixed_text").cast("long")}
-    return out.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
+    columns = [changed.get(c, F.col(c)).alias(c) for c in plain.columns]
+    return restored(planned.where("key <> cut_key").withColumn("mixed_text", F.explode(whole)).select(*columns)
+                    .unionByName(at_cut.withColumn("mixed_text", F.explode(texts)).select(*columns)))
 
 
 def op9_source_mix(spark, sf_dir):
@@ -188,7 +205,7 @@ WITH q AS (SELECT doc_id, max(quality) AS q FROM labels WHERE doc_id IS NOT NULL
 d AS (
   SELECT t.doc_id, t.source,
          CAST(len(regexp_extract_all(coalesce(t.text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         -ln((CAST('0x' || substr(md5(coalesce(CAST(t.doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5::DOUBLE)
+         -ln((CAST('0x' || substr(md5(coalesce(CAST(t.doc_id AS VARCHAR), '') || ':' || md5(coalesce(t.text, ''))), 1, 13) AS BIGINT) + 0.5::DOUBLE)
              / 4503599627370496::DOUBLE)
            / (CASE q.q WHEN 1 THEN 2.0::DOUBLE WHEN 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END) AS k
   FROM documents t LEFT JOIN q ON t.doc_id = q.doc_id),
@@ -215,12 +232,13 @@ r AS (
   SELECT d.*, b.source_size, b.target, b.epochs, b.budget,
          sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k) AS upto,
          sum(d.size) OVER (PARTITION BY d.source, d.k) AS grp,
-         count(*) OVER (PARTITION BY d.source, d.k) AS n
+         sum(d.size) OVER (PARTITION BY d.source, d.k ORDER BY d.doc_id, d.size
+                           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS ahead
   FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, size, source_size, target,
        CAST(epochs * size + CASE WHEN budget = 0 THEN 0
                                  WHEN upto < budget THEN size
-                                 WHEN upto - grp < budget THEN least(size, (budget - (upto - grp)) // n)
+                                 WHEN upto - grp < budget THEN greatest(0, least(size, budget - (upto - grp) - ahead))
                                  ELSE 0 END AS BIGINT) AS taken
 FROM r
 """
