@@ -15,8 +15,10 @@ Equal vectors are one class with a multiplicity. A bucket is compared in blocks
 BLOCK by BLOCK; a pair counts only in the first table where it meets, so no table of pairs is
 ever written: a task sends each vector's number of links and a spanning forest of its links.
 
-Defined cases: vectors that are null, zero, of another length than the commonest, or hold
-null or non-finite components link with nothing, likewise rows with a null vec_id (their
+Vectors are only compared with vectors of their own length; each length has its own sample and
+tables.
+
+Defined cases: vectors that are null, zero, or hold null or non-finite components link with nothing, likewise rows with a null vec_id (their
 component is their own id); repeated rows are equal vectors; an empty table gives no rows.
 """
 
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import components, kept, small
-from .vectors import dimension, grouped, matrix, valid, vector_key
+from .vectors import grouped, lengths, matrix, valid, vector_key
 
 SAMPLE_ROWS = 8192
 BLOCK = 1024
@@ -92,7 +94,7 @@ def _close_pairs(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, side: np.n
                  cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Positions (a, b) of rows of one group with at least ``cosine``; of a cross group only
     pairs of different sides."""
-    unit = x / np.sqrt((x * x).sum(axis=1))[:, None]
+    unit = unit_length(x)
     left, right = [], []
     size = ends - starts
     for r in np.flatnonzero(size > 64):
@@ -126,20 +128,20 @@ def _close_pairs(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, side: np.n
 def near_vectors(rows: DataFrame, cosine: float = 0.95, recall: float = 0.99,
                  sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row a vector: vec_id, n_links, component_id, kept. ``rows``: vec_id, embedding."""
-    dim = dimension(rows)
-    ok = valid(dim) & F.col("vec_id").isNotNull() & F.lit(dim > 0)
+    ok = valid() & F.col("vec_id").isNotNull()
     keyed = rows.select("vec_id", F.when(ok, vector_key()).alias("cid"), "embedding")
-    classes, seen = kept(keyed.where("cid is not null").groupBy("cid").agg(
+    classes, _ = kept(keyed.where("cid is not null").groupBy("cid").agg(
         F.first("embedding").alias("v"), F.count(F.lit(1)).alias("copies")), "classes")
-    n = seen["rows"]
     own = keyed.select("vec_id", "cid")
-    if n < 2:
-        links = classes.select("cid", F.lit(0).cast("long").alias("links"), F.col("cid").alias("root")).limit(0)
-    else:
+    links = classes.select("cid", F.lit(0).cast("long").alias("links"), F.col("cid").alias("root")).where("false")
+    for dim, n in lengths(classes):
+        if n < 2:
+            continue
+        alike = classes.where(F.size("v") == dim)
         width, tables = table_plan(n, cosine, recall)
-        sample = classes.orderBy(F.xxhash64("cid"), "cid").limit(sample_rows).select("v").toPandas()["v"]
+        sample = alike.orderBy(F.xxhash64("cid"), "cid").limit(sample_rows).select("v").toPandas()["v"]
         projection = learn_itq(np.stack(sample.to_numpy()).astype(np.float64), width * tables)
-        links = _linked(classes, dim, projection, width, tables, cosine)
+        links = links.unionByName(_linked(alike, dim, projection, width, tables, cosine))
     links, _ = kept(links, "links")
     edges = links.where("root <> cid").select(F.col("cid").alias("a"), F.col("root").alias("b"))
     roots, n_roots = kept(components(edges), "roots")

@@ -14,8 +14,9 @@ Equal vectors are one class that carries its k + 1 smallest ids, all that any qu
 Leaves larger than BLOCK are split over tasks and their queries sent to each part; a task
 keeps k + 1 candidates a query, so nothing but those is shuffled again.
 
-Defined cases: vectors that are null, zero, of another length than the commonest, or hold
-null or non-finite components take no part, likewise rows with a null vec_id; ties go to the
+Vectors are only near vectors of their own length; each length has its own forest.
+
+Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, likewise rows with a null vec_id; ties go to the
 smaller vec_id; a query gets all candidates if there are fewer than k; repeated rows are
 candidates each (the query's own id is not); an empty table gives no rows.
 """
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import kept
-from .vectors import dimension, grouped, matrix, valid, vector_key
+from .vectors import grouped, lengths, matrix, valid, vector_key
 
 SAMPLE_ROWS = 16_384
 LEAF_ROWS = 48  # of the sample
@@ -123,8 +124,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, recall: float = 0.97
             sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score (Euclidean distance) of the k nearest found of each row
     of ``rows`` (vec_id, embedding) for which ``is_query`` holds."""
-    dim = dimension(rows)
-    ok = valid(dim) & F.col("vec_id").isNotNull() & F.lit(dim > 0)
+    ok = valid() & F.col("vec_id").isNotNull()
     keyed = rows.where(ok).select("vec_id", vector_key().alias("cid"), "embedding", is_query.alias("asked"))
     asked, _ = kept(keyed.where("asked").select(F.col("vec_id").alias("query_id"), F.col("cid").alias("q")), "queries")
     by_id = Window.partitionBy("cid").orderBy("vec_id")
@@ -135,11 +135,14 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, recall: float = 0.97
     if not seen["rows"]:
         return asked.select("query_id", F.lit(1).alias("rank"), F.col("query_id").alias("vec_id"),
                             F.lit(0.0).alias("score")).limit(0)
-    sample = classes.orderBy(F.xxhash64("cid"), "cid").limit(sample_rows).select("v").toPandas()["v"]
-    sample = np.stack(sample.to_numpy()).astype(np.float64)
-    forest = Forest(sample, trees)
-    budget = search_share(forest, sample, k, recall) * seen["rows"]
-    best = _found(classes, asked, forest, dim, budget, k)
+    best = None
+    for dim, n in lengths(classes):
+        alike = classes.where(F.size("v") == dim)
+        sample = alike.orderBy(F.xxhash64("cid"), "cid").limit(sample_rows).select("v").toPandas()["v"]
+        sample = np.stack(sample.to_numpy()).astype(np.float64)
+        forest = Forest(sample, trees)
+        found = _found(alike, asked, forest, dim, search_share(forest, sample, k, recall) * n, k)
+        best = found if best is None else best.unionByName(found)
     # (q, cid, dist) -> rows of the class, the k + 1 first, then those of each query
     ids = best.join(classes.select("cid", "ids"), "cid").select("q", "dist", F.explode("ids").alias("vec_id"))
     first = Window.partitionBy("q").orderBy("dist", "vec_id")

@@ -11,17 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def dimension(rows: DataFrame, column: str = "embedding") -> int:
-    """The commonest length of a vector (0 without any); of several the smallest."""
-    top = (rows.where(F.size(column) > 0).groupBy(F.size(column).alias("n")).count()
-           .orderBy(F.desc("count"), "n").first())
-    return top["n"] if top else 0
+def lengths(classes: DataFrame, column: str = "v") -> list[tuple[int, int]]:
+    """(length, vectors) of every vector length in the table, the shortest first."""
+    return [(r["n"], r["count"]) for r in classes.groupBy(F.size(column).alias("n")).count().orderBy("n").collect()]
 
 
-def valid(dim: int, column: str = "embedding") -> Column:
-    """Of the common length, without null or non-finite components, not all zero."""
+def valid(column: str = "embedding") -> Column:
+    """Without null or non-finite components, not all zero."""
     return F.coalesce(F.expr(
-        f"size({column}) = {dim} and forall({column}, x -> x is not null and not isnan(x) "
+        f"size({column}) > 0 and forall({column}, x -> x is not null and not isnan(x) "
         f"and abs(x) < double('Infinity')) and exists({column}, x -> x <> 0)"), F.lit(False))
 
 
