@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .alignment import align
 from .source_mix import n_words
-from .tables import kept, small
+from .tables import kept, small, tucked
 from .text import mix
 
 LEAST_WORDS = 30
@@ -151,7 +151,9 @@ def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> tuple[Da
 
 
 def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` with the deduplicated ``text`` and added columns n_lines and n_removed."""
+    """``docs`` with the deduplicated ``text`` and added columns n_lines and n_removed, which
+    stand for columns of these names, if there are any; others come along whatever their names."""
+    docs, restored = tucked(docs.drop("n_lines", "n_removed"), "doc_id", "text")
     gone, size = duplicate_lines(docs, least_words)
     marked = gone.select(F.col("key").alias("line_key"), F.col("gone").alias("line_gone"))
     out = docs.withColumn("line_own", document_key()).join(
@@ -161,9 +163,10 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     text = F.when(F.col("line_gone").isNull(), F.col("text")).otherwise(kept_lines)
     n_lines = F.coalesce(F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x, F.lit(BLANKS)) != "")), F.lit(0))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(n_lines)
-    return out.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns],
+    out = out.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns],
                       n_lines.cast("long").alias("n_lines"),
                       F.coalesce(F.when(F.col("line_gone").isNotNull(), F.size("line_gone")), F.lit(0)).cast("long").alias("n_removed"))
+    return restored(out, "n_lines", "n_removed")
 
 
 def op5_line_dedup(spark, sf_dir):

@@ -34,13 +34,13 @@ def small_batches(spark, rows: int = 1000) -> None:
 
 def tucked(docs: DataFrame, *core: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """``docs`` with its other columns in one struct, where their names clash with nothing,
-    and a function that brings back the columns in their order."""
+    and a function that brings back the columns in their order, ``added`` ones after them."""
     others = [c for c in docs.columns if c not in core]
     plain = docs.select(*[c for c in docs.columns if c in core], *(
         [F.struct(*[F.col(f"`{c}`") for c in others]).alias("other_columns")] if others else []))
 
-    def restored(df: DataFrame) -> DataFrame:
-        return df.select(*[F.col(c) if c in core else F.col("other_columns")[c].alias(c) for c in docs.columns])
+    def restored(df: DataFrame, *added: str) -> DataFrame:
+        return df.select(*[F.col(c) if c in core else F.col("other_columns")[c].alias(c) for c in docs.columns], *added)
 
     return plain, restored
 

@@ -150,8 +150,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, bits: int = BITS, most_ro
     """One row a document: doc_id, held_out, score, predicted. Rows whose id's checksum is
     divisible by 5 are held out of training."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    weights = train(docs, labels.where(~held), bits, most_rows)
-    scored = score(docs.select("doc_id", F.col("text").cast("string").alias("text")), weights)
+    narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    scored = score(narrow, train(narrow, labels.select("doc_id", "toxic").where(~held), bits, most_rows))
     return scored.select("doc_id", held.alias("held_out"), "score",
                          F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))
 
