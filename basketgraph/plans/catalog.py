@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..layout import OLIST_LAYOUT
+from ..layout import OLIST_LAYOUT, TESTDATA_LAYOUT
 from ..operators import cooccurrence as O
 from ..operators import graph as G
 from ..operators import loading as L
@@ -34,6 +34,7 @@ POOL = 20
 K = 10
 ENGINES = ["view", "click", "error", "purchase", "signup"]
 FALLBACK_IDS = [1, 2, 3]
+FALLBACK_OVER = 75
 # Snapshot dates used by the loading scenarios.
 ORDERS_LOADED_BEFORE = "1998-01-01"
 ORDERS_STORED_BEFORE = "1997-01-01"
@@ -47,15 +48,41 @@ def _key(spark: SparkSession, sf_dir: str) -> tuple:
     return (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
 
 
-def store_for(spark: SparkSession, sf_dir: str) -> OrderStore:
-    k = _key(spark, sf_dir)
+# Sellers in the place of products, and a price that takes two values: items of an order repeat,
+# so merging them changes answers.
+SELLER_LAYOUT = {
+    **TESTDATA_LAYOUT,
+    "products": ("supplier", {"product_id": "s_suppkey", "category": "s_nationkey"}),
+    "items": ("lineitem", {"order_id": "l_orderkey", "product_id": "l_suppkey", "seller_id": "l_suppkey",
+                           "price": "l_linestatus"}),
+}
+
+
+def _store(spark: SparkSession, sf_dir: str, layout: dict | None, name: str) -> OrderStore:
+    k = _key(spark, sf_dir) + (name,)
     if k not in _STORES:
-        built = OrderStore.from_dir(spark, sf_dir)
+        built = OrderStore.from_dir(spark, sf_dir, layout)
         _STORES[k] = built.materialize()
         built.unpersist()
     return _STORES[k]
 
 
+def store_for(spark: SparkSession, sf_dir: str) -> OrderStore:
+    return _store(spark, sf_dir, None, "products")
+
+
+def seller_store_for(spark: SparkSession, sf_dir: str) -> OrderStore:
+    return _store(spark, sf_dir, SELLER_LAYOUT, "sellers")
+
+
+def partial_store_for(spark: SparkSession, sf_dir: str) -> OrderStore:
+    """A store that lacks some customers, products and sellers, so that orders and items refer
+    to unknown ones."""
+    t = read_entities(spark, sf_dir)
+    return OrderStore(t["customers"].where("city < 20"), t["products"].where("category <> 'Brand#2'"),
+                      t["sellers"].where("city < 22"), t["orders"], t["items"])
+
+
 def _pool(spark: SparkSession, sf_dir: str, what: str) -> DataFrame:
     k = _key(spark, sf_dir) + (what,)
     if k not in _POOLS:
@@ -196,6 +223,36 @@ def q_unresolved_rows(spark, sf_dir):
     return G.unresolved_rows(snap)
 
 
+def q_unresolved_rows_partial(spark, sf_dir):
+    return G.unresolved_rows(partial_store_for(spark, sf_dir))
+
+
+def q_edges_placed_partial(spark, sf_dir):
+    return G.build_placed_edges(partial_store_for(spark, sf_dir))
+
+
+def q_edges_contains_partial(spark, sf_dir):
+    return G.build_contains_edges(partial_store_for(spark, sf_dir))
+
+
+def q_edges_sold_by_partial(spark, sf_dir):
+    return G.build_sold_by_edges(partial_store_for(spark, sf_dir))
+
+
+def q_edges_contains_merged(spark, sf_dir):
+    return G.build_contains_edges(seller_store_for(spark, sf_dir))
+
+
+def q_sellers_together(spark, sf_dir):
+    """C3 for every seller, merged items: which sellers deliver to the same orders."""
+    return O.bought_together_all(seller_store_for(spark, sf_dir), "merged", K)
+
+
+def q_sellers_also_bought(spark, sf_dir):
+    """C2 for every seller, merged items."""
+    return O.also_bought_all(seller_store_for(spark, sf_dir), "different", "merged", K)
+
+
 def _line_items(spark, sf_dir) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
         F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_number"),
@@ -325,8 +382,10 @@ def q_seeds_with_fallback(spark, sf_dir):
 
 
 def q_seeds_from_fallback(spark, sf_dir):
-    """A pool of one row is too small, so the fixed ids stand in."""
-    return S.with_fallback(customer_pool(spark, sf_dir).limit(1), FALLBACK_IDS, 2, "customer_id")
+    """Customers with more items than any may have; where fewer than two are found, the fixed
+    ids stand in."""
+    pool = S.active_customers(store_for(spark, sf_dir), FALLBACK_OVER, None)
+    return S.with_fallback(pool, FALLBACK_IDS, 2, "customer_id")
 
 
 def _runs(spark, sf_dir):
@@ -381,6 +440,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "edges_contains": q_edges_contains,
     "edges_sold_by": q_edges_sold_by,
     "unresolved_rows": q_unresolved_rows,
+    "unresolved_rows_partial": q_unresolved_rows_partial,
+    "edges_placed_partial": q_edges_placed_partial,
+    "edges_contains_partial": q_edges_contains_partial,
+    "edges_sold_by_partial": q_edges_sold_by_partial,
+    "edges_contains_merged": q_edges_contains_merged,
+    "sellers_together": q_sellers_together,
+    "sellers_also_bought": q_sellers_also_bought,
     "load_ignore_duplicates": q_load_ignore_duplicates,
     "load_report": q_load_report,
     "stored_load": q_stored_load,

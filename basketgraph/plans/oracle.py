@@ -307,6 +307,29 @@ summary AS (
            BOOL_OR(failed) AS failed
     FROM flagged GROUP BY engine, query)"""
 
+# The store that lacks some customers, products and sellers.
+PARTIAL = """some_customers AS (SELECT * FROM customer WHERE c_nationkey < 20),
+some_parts AS (SELECT * FROM part WHERE p_brand <> 'Brand#2'),
+some_suppliers AS (SELECT * FROM supplier WHERE s_nationkey < 22),
+"""
+PARTIAL_ITEMS = PARTIAL + (RESOLVED_ITEMS.replace("FROM customer c", "FROM some_customers c")
+                           .replace("FROM part p", "FROM some_parts p").replace("FROM supplier s", "FROM some_suppliers s"))
+
+# Sellers in the place of products, line status in the place of the price.
+SELLER_ROWS = """bag AS (
+    SELECT o.o_custkey AS cust, o.o_orderkey AS ord, li.l_suppkey AS part
+    FROM lineitem li JOIN orders o ON o.o_orderkey = li.l_orderkey),
+merged AS (
+    SELECT DISTINCT o.o_custkey AS cust, o.o_orderkey AS ord, li.l_suppkey AS part, li.l_linestatus AS price
+    FROM lineitem li JOIN orders o ON o.o_orderkey = li.l_orderkey)"""
+EVERY_SELLER = "seed AS (SELECT s_suppkey AS seed_id FROM supplier)"
+
+
+def _sellers(body: str) -> str:
+    body = body.replace("JOIN part pp ON pp.p_partkey = y.part", "JOIN supplier pp ON pp.s_suppkey = y.part")
+    return f"WITH {EVERY_SELLER},\n{SELLER_ROWS},\n{body}\n{TOPK}"
+
+
 ORDERS_LOGICAL = """SELECT o_orderkey AS order_id, o_custkey AS customer_id,
        o_orderstatus AS status, o_orderdate AS purchased_at FROM orders"""
 
@@ -364,6 +387,29 @@ FROM lineitem i WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = i.l_p
 UNION ALL
 SELECT 'items', l_orderkey, CAST(NULL AS BIGINT), l_partkey, l_suppkey, 'unknown seller'
 FROM lineitem i WHERE NOT EXISTS (SELECT 1 FROM supplier s WHERE s.s_suppkey = i.l_suppkey)""",
+    "unresolved_rows_partial": "WITH " + PARTIAL + """known AS (
+    SELECT o_orderkey FROM orders o WHERE EXISTS (SELECT 1 FROM some_customers c WHERE c.c_custkey = o.o_custkey))
+SELECT 'orders' AS entity, o_orderkey AS order_id, o_custkey AS customer_id,
+       CAST(NULL AS BIGINT) AS product_id, CAST(NULL AS BIGINT) AS seller_id, 'unknown customer' AS reason
+FROM orders o WHERE NOT EXISTS (SELECT 1 FROM some_customers c WHERE c.c_custkey = o.o_custkey)
+UNION ALL
+SELECT 'items', l_orderkey, CAST(NULL AS BIGINT), l_partkey, l_suppkey, 'unknown order'
+FROM lineitem i WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.o_orderkey = i.l_orderkey)
+UNION ALL
+SELECT 'items', l_orderkey, CAST(NULL AS BIGINT), l_partkey, l_suppkey, 'unknown product'
+FROM lineitem i WHERE NOT EXISTS (SELECT 1 FROM some_parts p WHERE p.p_partkey = i.l_partkey)
+UNION ALL
+SELECT 'items', l_orderkey, CAST(NULL AS BIGINT), l_partkey, l_suppkey, 'unknown seller'
+FROM lineitem i WHERE NOT EXISTS (SELECT 1 FROM some_suppliers s WHERE s.s_suppkey = i.l_suppkey)""",
+    "edges_placed_partial": "WITH " + PARTIAL_ITEMS + " SELECT o_custkey AS customer_id, o_orderkey AS order_id FROM known_orders",
+    "edges_contains_partial": "WITH " + PARTIAL_ITEMS + """
+SELECT DISTINCT l_orderkey AS order_id, l_partkey AS product_id, l_extendedprice AS price FROM items""",
+    "edges_sold_by_partial": "WITH " + PARTIAL_ITEMS + """
+SELECT DISTINCT l_partkey AS product_id, l_suppkey AS seller_id FROM items""",
+    "edges_contains_merged": """
+SELECT DISTINCT l_orderkey AS order_id, l_suppkey AS product_id, l_linestatus AS price FROM lineitem""",
+    "sellers_together": _sellers(BOUGHT_TOGETHER.replace("JOIN bag", "JOIN merged")),
+    "sellers_also_bought": _sellers(ALSO_BOUGHT_DIFFERENT),
     "load_ignore_duplicates": """
 WITH new AS (
     SELECT l_orderkey AS order_id, l_linenumber AS line_number, l_partkey AS product_id,
@@ -430,9 +476,12 @@ GROUP BY o.o_custkey HAVING COUNT(i.l_partkey) > 60""",
 SELECT l_partkey AS product_id, CAST(COUNT(l_orderkey) AS BIGINT) AS n_orders
 FROM lineitem GROUP BY l_partkey HAVING COUNT(l_orderkey) > 40""",
     "seeds_with_fallback": "WITH " + CUSTOMER_POOL + " SELECT customer_id FROM customer_pool",
-    "seeds_from_fallback": "WITH " + CUSTOMER_POOL + """, one AS (SELECT customer_id FROM customer_pool LIMIT 1)
-SELECT customer_id FROM one WHERE (SELECT COUNT(*) FROM one) >= 2
-UNION ALL SELECT CAST(id AS BIGINT) FROM (VALUES (1), (2), (3)) AS fixed(id) WHERE (SELECT COUNT(*) FROM one) < 2""",
+    "seeds_from_fallback": """
+WITH pool AS (
+    SELECT o.o_custkey AS customer_id FROM orders o JOIN lineitem i ON o.o_orderkey = i.l_orderkey
+    GROUP BY o.o_custkey HAVING COUNT(i.l_partkey) > 75)
+SELECT customer_id FROM pool WHERE (SELECT COUNT(*) FROM pool) >= 2
+UNION ALL SELECT CAST(id AS BIGINT) FROM (VALUES (1), (2), (3)) AS fixed(id) WHERE (SELECT COUNT(*) FROM pool) < 2""",
     "timed_runs": "WITH " + RUNS + """
 SELECT engine, query, iteration, elapsed_ms, failed FROM flagged WHERE NOT warm""",
     "run_summary": "WITH " + SUMMARY + " SELECT * FROM summary",
