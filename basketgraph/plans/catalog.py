@@ -224,7 +224,9 @@ def q_unresolved_rows(spark, sf_dir):
 
 
 def q_unresolved_rows_partial(spark, sf_dir):
-    return G.unresolved_rows(partial_store_for(spark, sf_dir))
+    """Ids as text, since most are missing in some row."""
+    rows = G.unresolved_rows(partial_store_for(spark, sf_dir))
+    return rows.select(*[F.col(c).cast("string").alias(c) for c in rows.columns])
 
 
 def q_edges_placed_partial(spark, sf_dir):

@@ -388,19 +388,22 @@ UNION ALL
 SELECT 'items', l_orderkey, CAST(NULL AS BIGINT), l_partkey, l_suppkey, 'unknown seller'
 FROM lineitem i WHERE NOT EXISTS (SELECT 1 FROM supplier s WHERE s.s_suppkey = i.l_suppkey)""",
     "unresolved_rows_partial": "WITH " + PARTIAL + """known AS (
-    SELECT o_orderkey FROM orders o WHERE EXISTS (SELECT 1 FROM some_customers c WHERE c.c_custkey = o.o_custkey))
-SELECT 'orders' AS entity, o_orderkey AS order_id, o_custkey AS customer_id,
-       CAST(NULL AS BIGINT) AS product_id, CAST(NULL AS BIGINT) AS seller_id, 'unknown customer' AS reason
+    SELECT o_orderkey FROM orders o WHERE EXISTS (SELECT 1 FROM some_customers c WHERE c.c_custkey = o.o_custkey)),
+lost AS (
+SELECT 'orders' AS entity, o_orderkey AS o, o_custkey AS c, CAST(NULL AS BIGINT) AS p, CAST(NULL AS BIGINT) AS s,
+       'unknown customer' AS reason
 FROM orders o WHERE NOT EXISTS (SELECT 1 FROM some_customers c WHERE c.c_custkey = o.o_custkey)
 UNION ALL
-SELECT 'items', l_orderkey, CAST(NULL AS BIGINT), l_partkey, l_suppkey, 'unknown order'
+SELECT 'items', l_orderkey, NULL, l_partkey, l_suppkey, 'unknown order'
 FROM lineitem i WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.o_orderkey = i.l_orderkey)
 UNION ALL
-SELECT 'items', l_orderkey, CAST(NULL AS BIGINT), l_partkey, l_suppkey, 'unknown product'
+SELECT 'items', l_orderkey, NULL, l_partkey, l_suppkey, 'unknown product'
 FROM lineitem i WHERE NOT EXISTS (SELECT 1 FROM some_parts p WHERE p.p_partkey = i.l_partkey)
 UNION ALL
-SELECT 'items', l_orderkey, CAST(NULL AS BIGINT), l_partkey, l_suppkey, 'unknown seller'
-FROM lineitem i WHERE NOT EXISTS (SELECT 1 FROM some_suppliers s WHERE s.s_suppkey = i.l_suppkey)""",
+SELECT 'items', l_orderkey, NULL, l_partkey, l_suppkey, 'unknown seller'
+FROM lineitem i WHERE NOT EXISTS (SELECT 1 FROM some_suppliers s WHERE s.s_suppkey = i.l_suppkey))
+SELECT entity, CAST(o AS VARCHAR) AS order_id, CAST(c AS VARCHAR) AS customer_id, CAST(p AS VARCHAR) AS product_id,
+       CAST(s AS VARCHAR) AS seller_id, reason FROM lost""",
     "edges_placed_partial": "WITH " + PARTIAL_ITEMS + " SELECT o_custkey AS customer_id, o_orderkey AS order_id FROM known_orders",
     "edges_contains_partial": "WITH " + PARTIAL_ITEMS + """
 SELECT DISTINCT l_orderkey AS order_id, l_partkey AS product_id, l_extendedprice AS price FROM items""",
