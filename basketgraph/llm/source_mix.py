@@ -132,20 +132,29 @@ def taken_words() -> Column:
             .otherwise(F.coalesce("cut_words", F.lit(0)))).cast("long")
 
 
-def drawn(docs: DataFrame, quality: DataFrame | None) -> DataFrame:
-    """``docs`` with row, a number of its own, and key. ``quality`` (doc_id, weight > 0) has at
-    most one row a document; documents without one weigh 1."""
+def measured_quality(quality: DataFrame | None) -> tuple[DataFrame | None, int]:
+    """``quality`` written and counted: few enough rows are broadcast, so that texts stay put."""
+    if quality is None:
+        return None, 0
+    table, seen = kept(quality.select("doc_id", "weight"), "quality")
+    return table, seen["rows"]
+
+
+def drawn(docs: DataFrame, quality: DataFrame | None, n_quality: int) -> DataFrame:
+    """``docs`` with row, a number of its own, and key. ``quality`` (doc_id, weight > 0; n_quality
+    rows) has at most one row a document; documents without one weigh 1."""
     out = docs.withColumn("row", F.monotonically_increasing_id())
     if quality is None:
         return out.withColumn("key", draw_key(F.lit(1.0)))
-    out = out.join(quality.select(F.col("doc_id").alias("q_id"), F.col("weight").alias("q_weight")),
+    weights = quality.select(F.col("doc_id").alias("q_id"), F.col("weight").alias("q_weight"))
+    out = out.join(small(weights, n_quality, 24),
                    F.col("doc_id") == F.col("q_id"), "left")
     return out.withColumn("key", draw_key(F.coalesce("q_weight", F.lit(1.0)))).drop("q_id", "q_weight")
 
 
-def sized_documents(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
+def sized_documents(docs: DataFrame, quality: DataFrame | None = None, n_quality: int = 0) -> DataFrame:
     """(doc_id, source, size, key, row) of ``docs`` (doc_id, text, source)."""
-    return drawn(docs, quality).select("doc_id", "source", n_words().alias("size"), "key", "row")
+    return drawn(docs, quality, n_quality).select("doc_id", "source", n_words().alias("size"), "key", "row")
 
 
 def label_quality(labels: DataFrame) -> DataFrame:
@@ -157,7 +166,7 @@ def label_quality(labels: DataFrame) -> DataFrame:
 def mix_sources(docs: DataFrame, quality: DataFrame | None = None, weights: DataFrame | None = None,
                 most: int = MOST_EPOCHS) -> DataFrame:
     """One row a document: doc_id, size, source_size, target, taken."""
-    sized, _ = kept(sized_documents(docs.select("doc_id", "text", "source"), quality), "sized")
+    sized, _ = kept(sized_documents(docs.select("doc_id", "text", "source"), *measured_quality(quality)), "sized")
     plan, n = mix_plan(sized, weights, most)
     p = small(plan.withColumnRenamed("source", "p_source"), n, 64)
     planned = sized.join(p, F.col("source").eqNullSafe(F.col("p_source")))
@@ -173,10 +182,11 @@ def mixed_documents(docs: DataFrame, quality: DataFrame | None = None,
     without words add nothing to a budget and go through once. Other columns, whatever their
     names, come along."""
     plain, restored = tucked(docs, "doc_id", "text", "source", "n_chars")
-    sized, _ = kept(sized_documents(plain, quality), "sized")
+    quality, n_quality = measured_quality(quality)
+    sized, _ = kept(sized_documents(plain, quality, n_quality), "sized")
     plan, n = mix_plan(sized, weights, most)
     p = small(plan.select(F.col("source").alias("p_source"), "epochs", "cut_key", "rest"), n, 64)
-    planned = drawn(plain, quality).join(p, F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source")
+    planned = drawn(plain, quality, n_quality).join(p, F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source")
     some = F.coalesce(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
     copies = (F.col("epochs") + F.when(F.col("key") < F.col("cut_key"), 1).otherwise(0)).cast("int")
     whole = F.array_repeat("text", F.when(some, copies).otherwise(1))
