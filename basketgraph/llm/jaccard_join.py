@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .line_dedup import document_key
 from .source_mix import n_words
-from .tables import components, kept, small, small_batches, tucked
+from .tables import components, dropped, kept, small, small_batches, tucked
 from .text import mix, set_fingerprint, shingles, slices, text_buffer, word_hashes
 from .vectors import grouped
 
@@ -416,9 +416,11 @@ def rooted_documents(docs: DataFrame, n: int, p: int, q: int, hot_rows: int = HO
         counts[g] = counts.get(g, 0) + row["c"]
     bands = Bands(p, q, counts, max([row["most"] for row in histogram], default=1))
 
-    table, seen = kept(indexed(docs, n, bands), "signatures")
-    rows = table.where("size(sigs) > 0").select(F.explode("sigs").alias("sig"), "cid")
+    signed, seen = kept(indexed(docs, n, bands), "signatures")
+    rows = signed.where("size(sigs) > 0").select(F.explode("sigs").alias("sig"), "cid")
     shared, n_shared = kept(buckets(rows, seen["rows"], hot_rows), "buckets")
+    table, _ = kept(signed.select("doc_id", "key", "n_shingles", "cid"), "documents")
+    dropped(signed)
     members = shared.select("cid").union(shared.select(F.col("center").alias("cid"))).distinct()
     one = (table.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
            .join(members, "cid", "left_semi"))
@@ -448,6 +450,7 @@ def rooted_documents(docs: DataFrame, n: int, p: int, q: int, hot_rows: int = HO
             links = links.union(more)
             roots, n_roots = kept(components(links), "roots")
 
+    dropped(sets, shared, one)
     r = small(roots, n_roots["rows"], 24)
     return (table.select("doc_id", "key", "n_shingles", "cid").join(r, F.col("cid") == F.col("node"), "left")
             .select("doc_id", "key", "n_shingles", F.coalesce("root", "cid").alias("root")))

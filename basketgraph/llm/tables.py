@@ -18,6 +18,16 @@ def kept(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dict]
     return pin_metrics(df, f"llm-{label}", **metrics)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that ``kept`` has written, once nothing reads them any more."""
+    for table in tables:
+        session = table.sparkSession
+        files = table.inputFiles()
+        if files:
+            folder = session._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """``df`` with a broadcast hint if its measured rows fit in MAX_BROADCAST_BYTES;
     otherwise unchanged, and the join stays a shuffle join that AQE may split."""
