@@ -26,7 +26,7 @@ from .tables import kept, small
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Second labels that belong to the suffix under a two-letter top domain.
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
-RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "allow"),
+RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
          ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
 
