@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import fine_shuffles
+
 
 def first_per_key(df: DataFrame, keys: list[str], order_by: str | None = None) -> DataFrame:
     """One row per key: the one with the smallest ``order_by`` (the first submitted; a NULL
@@ -63,6 +65,7 @@ def load_report(loads: dict[str, tuple[DataFrame, DataFrame]],
     failed = failed or {}
     if spark is None:
         raise ValueError("load_report needs at least one loaded table")
+    fine_shuffles(spark)
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
