@@ -144,7 +144,7 @@ def path_counts(store: OrderStore, seeds: DataFrame, depth: int, mode: str = "wa
     weight = F.col("w").cast(WIDE) if wide else F.col("w")
     g = (store.weights_of(s, "seed_id", "customer_id", "customer_id", items, seed_rows)
          .join(s, F.col("customer_id") == F.col("seed_id")).select("seed_id", "product_id", weight.alias("w")))
-    bound = None if seed_rows is None else seed_rows * store.degree_bounds()["products_per_customer"]
+    bound = None if seed_rows is None else seed_rows * store.degree_bound("products_per_customer")
     if bound is not None and bound <= max_broadcast_rows(store.spark):
         g_rows = bound          # proven small: used as is, no job
     else:
@@ -199,8 +199,7 @@ def neighbour_recs_batched(store: OrderStore, seeds: DataFrame, depth: int = 2,
     from ..session import scratch_path
 
     if seeds_per_job is None:
-        deg = store.degree_bounds()
-        reach = max(1, deg["products_per_customer"]) * max(1, deg["customers_per_product"])
+        reach = max(1, store.degree_bound("products_per_customer")) * max(1, store.degree_bound("customers_per_product"))
         seeds_per_job = max(1, max_broadcast_rows(store.spark) // reach)
     distinct = seeds.select("seed_id").distinct()
     n = distinct.count()

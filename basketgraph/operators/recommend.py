@@ -39,7 +39,7 @@ def _finish(pairs: DataFrame, k: int, wide: bool = False) -> DataFrame:
 
 
 def _bound(store: OrderStore, seed_rows: int | None, degree: str) -> int | None:
-    return None if seed_rows is None else seed_rows * store.degree_bounds()[degree]
+    return None if seed_rows is None else seed_rows * store.degree_bound(degree)
 
 
 def _also_bought_counts(store: OrderStore, seeds: DataFrame, items: str,
