@@ -58,6 +58,17 @@ def fine_shuffles(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
+# A join whose one side has only small partitions (compressed) hashes them and sorts neither side.
+HASHED_JOINS = {"spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "16m"}
+
+
+def hashed_joins(spark: SparkSession) -> None:
+    """Where the session keeps Spark's default, which always sorts."""
+    for key, value in HASHED_JOINS.items():
+        if spark.conf.get(key) in (None, "0", "0b"):
+            spark.conf.set(key, value)
+
+
 def checkpoint_root(spark: SparkSession) -> str | None:
     """The shared folder named by the cluster, or None when unset."""
     value = spark.conf.get(CHECKPOINT_KEY, None)

@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.lookup import ROWS_PER_FILE, looked_up, write_sorted
-from .functions.skew import split_hot_join
+from .functions.sizing import broadcast_if_small, max_broadcast_rows, pin
+from .functions.skew import hot_key_rows, hot_keys, split_hot_join
 from .sources.entities import read_entities
 
 ITEM_MODES = ("bag", "merged")
@@ -74,6 +75,7 @@ class OrderStore:
         self.products = unique_rows(products, "product_id")
         self.sellers = unique_rows(sellers, "seller_id")
         self.orders = unique_rows(orders, "order_id")
+        self.orders_raw = orders
         self.items_raw = items
         self.resolve = resolve
         self.hot_rows = hot_rows
@@ -103,17 +105,19 @@ class OrderStore:
             if self.path is None:
                 self._keep(key, build())
             else:
-                build().write.mode("overwrite").parquet(f"{self.path}/{key}")
+                build().write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{key}")
                 self._memo[key] = self.spark.read.parquet(f"{self.path}/{key}")
         return self._memo[key]
 
     def lazily(self, path: str | None = None, rows_per_file: int = ROWS_PER_FILE) -> "OrderStore":
         """A store over the same rows that writes each derived table, unique entity and sorted copy
         of a weight table as Parquet when a query first needs it (``materialize`` writes all of them
-        at once). Nothing is held in executors, and a query that needs no weights builds none."""
-        from .session import fine_shuffles, scratch_path
+        at once). Nothing is held in executors, and a query that needs no weights builds none.
+        Over more than ``rows_per_file`` items no sorted copies are written: see ``LazyStore``."""
+        from .session import fine_shuffles, hashed_joins, scratch_path
 
         fine_shuffles(self.spark)
+        hashed_joins(self.spark)
         out = LazyStore.__new__(LazyStore)
         out.__dict__.update(self.__dict__)
         out._memo, out.path = {}, (path or scratch_path(self.spark, "store")).rstrip("/")
@@ -164,6 +168,7 @@ class OrderStore:
         out.cities, out.path = self.cities, None
         read = self.spark.read.parquet
         out.customers, out.products, out.sellers, out.orders = (read(f"{path}/{name}") for name in entities)
+        out.orders_raw = out.orders
         for name in ("cp", "cp-product_id", "op", "op-product_id", *tables):
             if name not in entities:
                 out._memo[name] = read(f"{path}/{name}")
@@ -194,23 +199,27 @@ class OrderStore:
     def known_orders(self) -> DataFrame:
         """Orders whose customer exists: (order_id, customer_id)."""
         def build():
-            o = self.orders.select("order_id", "customer_id")
-            if not self.resolve:
-                return o
+            o = self.order_customers()
             # One customer may place a large share of all orders.
-            return split_hot_join(o, self.customers.select("customer_id"), "customer_id",
-                                  "left_semi", self.hot_rows)
+            return self.with_known(o, self.customers, "customer_id") if self.resolve else o
         return self.derived("orders", build)
 
-    def resolved_items(self) -> DataFrame:
+    def order_customers(self) -> DataFrame:
+        return self.orders.select("order_id", "customer_id")
+
+    def with_known(self, rows: DataFrame, entity: DataFrame, key: str) -> DataFrame:
+        """The rows whose ``key`` is an id of ``entity``."""
+        return split_hot_join(rows, entity.select(key), key, "left_semi", self.hot_rows)
+
+    def resolved_items(self, orders: DataFrame | None = None) -> DataFrame:
         """Items whose order (with a known customer), product and seller all exist,
         carrying the order's customer: (order_id, customer_id, product_id, seller_id, price)."""
         it = self.items_raw.select("order_id", "product_id", "seller_id", "price")
         # One product, seller or order may hold a large share of all items.
         if self.resolve:
-            it = split_hot_join(it, self.products.select("product_id"), "product_id", "left_semi", self.hot_rows)
-            it = split_hot_join(it, self.sellers.select("seller_id"), "seller_id", "left_semi", self.hot_rows)
-        df = split_hot_join(it, self.known_orders(), "order_id", "inner", self.hot_rows)
+            it = self.with_known(it, self.products, "product_id")
+            it = self.with_known(it, self.sellers, "seller_id")
+        df = split_hot_join(it, self.known_orders() if orders is None else orders, "order_id", "inner", self.hot_rows)
         return df.select("order_id", "customer_id", "product_id", "seller_id", "price")
 
     def items(self, items: str = "bag") -> DataFrame:
@@ -284,7 +293,7 @@ class OrderStore:
                 df, key = self.customers.where(F.col("city").isNotNull()), "city"
             else:
                 key = "customer_id" if name == "products_per_customer" else "product_id"
-                df = self.order_product_weights() if name == "orders_per_product" else self.customer_product_weights()
+                df = self.order_product_weights() if name == "orders_per_product" else self.customer_products()
             most = df.groupBy(key).agg(F.count(F.lit(1)).alias("d")).agg(F.max("d").alias("d")).first()["d"]
             return int(most or 0)
         return self.kept_object(f"degree-{name}", widest)
@@ -310,7 +319,7 @@ class OrderStore:
         """(product_id, customers, pair_rows), kept: a product's customers, and how many products
         they have in all, which is what listing the product's co-occurrences costs."""
         def build():
-            cp = self.customer_product_weights().select("customer_id", "product_id")
+            cp = self.customer_product_pairs()
             widths = cp.groupBy("customer_id").agg(F.count(F.lit(1)).alias("width"))
             return (cp.join(widths, "customer_id").groupBy("product_id")
                     .agg(F.count(F.lit(1)).alias("customers"), F.sum("width").alias("pair_rows")))
@@ -320,7 +329,7 @@ class OrderStore:
         """Products bought by more than ``hot_rows`` customers, kept with their count."""
         key = f"hot-products-{hot_rows}"
         if key not in self._memo:
-            hot = (self.customer_product_weights().groupBy("product_id")
+            hot = (self.customer_product_pairs().groupBy("product_id")
                    .agg(F.count(F.lit(1)).alias("deg")).where(F.col("deg") > hot_rows)
                    .select("product_id"))
             hot = hot.persist(StorageLevel.MEMORY_AND_DISK)
@@ -333,7 +342,19 @@ class OrderStore:
 
 
 class LazyStore(OrderStore):
-    """``OrderStore.lazily``: entities, too, are read from their written form."""
+    """``OrderStore.lazily``: entities, too, are read from their written form.
+
+    Sorting all weights pays for many lookups, not for the few of a query. So over more than
+    ``rows_per_file`` items the customer weights are written once, clustered and sorted by customer,
+    without the order weights before them, and lookups filter or join that table. Where a query asks
+    for bag weights alone, the prices are not shuffled.
+    """
+
+    # A hot customer's rows are dealt over this many partitions by product.
+    HOT_PARTS = 64
+
+    def is_large(self) -> bool:
+        return self.kept_object("n-items", lambda: self.items_raw.count()) > self.rows_per_file
 
     def sorted_copy(self, base: str, column: str) -> DataFrame:
         key = f"{base}-by-{column}"
@@ -344,6 +365,72 @@ class LazyStore(OrderStore):
             self._memo[key] = self.spark.read.parquet(f"{self.path}/{key}")
         return self._memo[key]
 
+    def weights_of(self, keys: DataFrame, key: str, group: str, column: str, items: str = "bag",
+                   bound: int | None = None) -> DataFrame:
+        if not self.is_large():
+            return super().weights_of(keys, key, group, column, items, bound)
+        weights = self.customer_products(items) if group == "customer_id" else self.order_products(items)
+        return looked_up(weights, column, keys, key, bound) if column == "customer_id" else weights
+
+    # -- references: ids that are looked for are broadcast, or the few that are missing ------
+
+    def order_customers(self) -> DataFrame:
+        raw = self.orders_raw
+        if "entity-orders" in self._memo or [c for c in raw.columns if c != "order_id"][0] != "customer_id":
+            return super().order_customers()
+        # The smallest row of an order is one of its smallest customer, NULL first.
+        return (raw.where(F.col("order_id").isNotNull()).groupBy("order_id")
+                .agg(F.max(F.col("customer_id").isNull()).alias("_none"), F.min("customer_id").alias("_first"))
+                .select("order_id", F.when(~F.col("_none"), F.col("_first")).alias("customer_id")))
+
+    def with_known(self, rows: DataFrame, entity: DataFrame, key: str) -> DataFrame:
+        ids = entity.select(key)
+        n_ids = ids.count()
+        if n_ids <= max_broadcast_rows(self.spark):
+            return rows.join(broadcast_if_small(ids, n_ids), key, "left_semi")
+        rows = rows.where(F.col(key).isNotNull())
+        lost, n_lost = self.kept_object(f"lost-{key}", lambda: pin(
+            rows.select(key).distinct().join(ids, key, "left_anti"), "lost-ids"))
+        if n_lost > max_broadcast_rows(self.spark):
+            return super().with_known(rows, entity, key)
+        return rows.join(broadcast_if_small(lost, n_lost), key, "left_anti") if n_lost else rows
+
+    # -- customer weights without order weights ----------------------------------------------
+
+    def customer_product_weights(self) -> DataFrame:
+        if "cp" in self._memo or "op" in self._memo or not self.is_large():
+            return super().customer_product_weights()
+        return self.derived("cp", lambda: self._weights_by_customer(merged=True))
+
+    def customer_products(self, items: str = "bag") -> DataFrame:
+        if items != "bag" or "cp" in self._memo or "op" in self._memo or not self.is_large():
+            return super().customer_products(items)
+        cp = self.derived("cp-bag", lambda: self._weights_by_customer(merged=False))
+        return cp.select("customer_id", "product_id", F.col("w_bag").alias("w"))
+
+    def _weights_by_customer(self, merged: bool) -> DataFrame:
+        """(customer_id, product_id, w_bag) and with ``merged`` w_merged, of resolved items."""
+        orders = self._memo.get("orders")
+        if orders is None:  # their shuffle by order serves the join
+            orders = self.order_customers()
+            orders = self.with_known(orders, self.customers, "customer_id") if self.resolve else orders
+        it = self.resolved_items(orders)
+        if merged:
+            it = it.groupBy("order_id", "customer_id", "product_id", "price").agg(F.count(F.lit(1)).alias("rows"))
+            weights = [F.sum("rows").alias("w_bag"), F.count(F.lit(1)).alias("w_merged")]
+        else:
+            weights = [F.count(F.lit(1)).alias("w_bag")]
+        rows = it.select("customer_id", "product_id", *(["rows"] if merged else []))
+        hot, n_hot = hot_keys(self.orders_raw, "customer_id",
+                              hot_key_rows(self.spark) if self.hot_rows is None else self.hot_rows)
+        by = ["customer_id"]
+        if n_hot:
+            rows = rows.join(broadcast_if_small(hot.withColumn("_hot", F.lit(True)), n_hot), "customer_id", "left")
+            part = F.pmod(F.xxhash64("product_id"), F.lit(self.HOT_PARTS))
+            rows, by = rows.withColumn("_part", F.when(F.col("_hot"), part).otherwise(F.lit(0))), ["customer_id", "_part"]
+        return (rows.repartition(*by).groupBy(*by, "product_id").agg(*weights)
+                .sortWithinPartitions("customer_id", "product_id").drop("_part"))
+
 
 def _entity(name: str) -> property:
     return property(lambda store: store.derived(f"entity-{name}", lambda: store.__dict__[name]))
