@@ -23,6 +23,9 @@ aggregation. The vector is written to the shared checkpoint folder, with its row
 observed during the write, and broadcast only when that count allows, so m is scanned
 in place and never shuffled. The first vector (the seeds' own products) needs no write
 when seeds x the widest customer's product count is already under the limit.
+
+The last hop reaches the most rows. For a few seeds its vector has a column a seed, so a row of
+m is joined and summed by product once for all seeds instead of once a seed that reaches it.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ from .recommend import _finish, seed_frame
 PATH_MODES = ("walk", "simple")
 MAX_SIMPLE_DEPTH = 4
 WIDE = "decimal(38,0)"
+# Seeds at most that get a column each in the last hop.
+MAX_SEED_COLUMNS = 32
 
 
 def _spread_to_customers(g: DataFrame, g_rows: int, m: DataFrame) -> DataFrame:
@@ -54,6 +59,28 @@ def _spread_to_products(f: DataFrame, f_rows: int, m: DataFrame) -> DataFrame:
              .agg(F.sum(F.col("fw") * F.col("w")).alias("w")))
 
 
+def _seed_columns(s: DataFrame, seed_rows: int | None) -> list:
+    """The seeds, if the caller knows that they are few, more than one, and they are; else none."""
+    if seed_rows is None or not 1 < seed_rows <= MAX_SEED_COLUMNS:
+        return []
+    found = [r[0] for r in s.where(F.col("seed_id").isNotNull()).limit(MAX_SEED_COLUMNS + 1).collect()]
+    return found if 1 < len(found) <= MAX_SEED_COLUMNS else []
+
+
+def _spread_columns_to_products(f: DataFrame, m: DataFrame, seeds: list) -> DataFrame:
+    """``_spread_to_products`` of a vector whose seeds all are in ``seeds``, by a column a seed."""
+    names = [f"_w{i}" for i in range(len(seeds))]
+    ids = [F.lit(x).cast(f.schema["seed_id"].dataType) for x in seeds]
+    by_customer, rows = pin(
+        f.groupBy("customer_id").agg(*[F.max(F.when(F.col("seed_id") == x, F.col("w"))).alias(n)
+                                       for n, x in zip(names, ids, strict=True)]), "paths-columns")
+    sums = (m.join(broadcast_if_small(by_customer, rows * len(seeds)), "customer_id")
+             .groupBy("product_id").agg(*[F.sum(F.col(n) * F.col("w")).alias(n) for n in names]))
+    cells = F.array(*[F.struct(x.alias("seed_id"), F.col(n).alias("w")) for n, x in zip(names, ids, strict=True)])
+    return (sums.select("product_id", F.inline(F.filter(cells, lambda c: c["w"].isNotNull())))
+            .select("seed_id", "product_id", "w"))
+
+
 def _sum_by_customer(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
@@ -150,6 +177,7 @@ def path_counts(store: OrderStore, seeds: DataFrame, depth: int, mode: str = "wa
     else:
         g, g_rows = pin(g, "paths-g0")
     fs: list[DataFrame] = []
+    columns = _seed_columns(s, seed_rows) if depth > 1 else []
     for hop in range(1, depth):
         holders = m
         if hop == 1:  # a few seeds' own products are looked up
@@ -167,6 +195,9 @@ def path_counts(store: OrderStore, seeds: DataFrame, depth: int, mode: str = "wa
                 f1c = F.coalesce(F.col("f1"), F.lit(0))
                 fw = fw - f1c * (F.coalesce(F.col("n2"), F.lit(0)) - f1c * f1c)
             t = t.select("seed_id", "customer_id", fw.alias("w"))
+        if columns and hop == depth - 1:
+            g = _spread_columns_to_products(t.where(F.col("w") > 0), m, columns)
+            break
         f, f_rows = pin(t.where(F.col("w") > 0), f"paths-f{hop}")
         fs.append(f)
         g = _spread_to_products(f, f_rows, m)
