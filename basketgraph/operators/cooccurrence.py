@@ -276,6 +276,8 @@ def also_bought_all(store: OrderStore, orders: str = "any", items: str = "bag",
     if orders not in ("any", "different"):
         raise ValueError(f"orders must be any or different, got {orders!r}")
     check_items_mode(items)
+    if orders == "different":  # both weights are needed, and those of customers are made from those of orders
+        store.order_product_weights()
     weights = store.customer_products(items)
     codes = Codes(weights.select("product_id"))
     lists, pairs, n = basket_lists(codes.coded(weights, "product_id", "p"), "customer_id", block_rows)
