@@ -76,7 +76,8 @@ class Edges:
         """(edges of ordinary vertices by vertex, edges of hot vertices by vertex and block, the
         hot vertices with their blocks, their number)."""
         if self._dealt is None:
-            n = int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            conf = self.df.sparkSession.conf  # a copy in fewer partitions than a join starts with is shuffled again
+            n = int(conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) or conf.get("spark.sql.shuffle.partitions"))
             degree = self.df.groupBy("src_t", "src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > self.hot_rows)
             hot, n_hot = pin(degree.select(F.col("src_t").alias("h_t"), F.col("src").alias("h"),
                                            F.ceil(F.col("n") / self.hot_rows).cast("int").alias("blocks")), "hot-vertices")
